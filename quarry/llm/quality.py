@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import fold, slices, to_bytes
 from quarry.llm.compression import Logistic, SizeModel, gather
@@ -86,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs with a column quality_score (replaced if there): a narrow pass over whole texts. Null text counts as empty."""
-    schema = docs.drop("quality_score").schema.add("quality_score", "double")
+    schema = T.StructType([*docs.drop("quality_score").schema.fields, T.StructField("quality_score", T.DoubleType())])
     at = docs.drop("quality_score").columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
