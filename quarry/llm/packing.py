@@ -4,9 +4,12 @@ partition's running totals; prefix sums over the partition totals give every doc
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,49 +29,82 @@ class PackingParams:
     pad_id: int = 0
 
 
+_LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+#: Chunks of one or two words of the vocabulary's splitter: letters, letters with marks after them.
+_SIMPLE = re.compile(_LETTER + rb"+([.,;:!?|]*)")
+_WORD_END, _MARK = "</w>", "<|startoftext|>"
+
+
 class ChunkTokenizer:
-    """Ids of texts under a tokenizer none of whose tokens spans ASCII white space: each distinct chunk between white space is
-    encoded once, whole texts are put together from chunks in numpy. The table starts anew when it outgrows its room."""
+    """Ids of texts under a byte-pair tokenizer with word ends that lowers case and drops white space: no id spans ASCII white
+    space, so each distinct chunk between white space is encoded once and texts are put together from chunks in numpy. New
+    chunks are encoded joined: simple ones by spaces, as the ids that end words tell them apart, others by a special token.
+    The table starts anew when it outgrows its room."""
 
-    def __init__(self, path: str, room_bytes: int = 24 << 20) -> None:
+    def __init__(self, path: str, room_bytes: int = 160 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room_bytes
+        self.mark = self.tokenizer.token_to_id(_MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.ids, self.starts, self.used = [np.zeros(0, np.uint32)], [0], 0
-        self._flat: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.flat, self.starts, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
+
+    def _joined(self, chunks: list[bytes], by: str, size: int = 256) -> np.ndarray:
+        texts = [by.join([c.decode() for c in chunks[i : i + size]]) + by for i in range(0, len(chunks), size)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(f.ids, dtype=np.uint32) for f in found)])
 
     def _learn(self, new: list[bytes]) -> None:
-        for chunk, found in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self.index[chunk] = len(self.starts) - 1
-            self.ids.append(np.array(found.ids, dtype=np.uint32))
-            self.starts.append(self.starts[-1] + len(found.ids))
-            self.used += len(chunk) + 4 * len(found.ids) + 100
-        flat = np.concatenate(self.ids)
-        self.ids = [flat]
-        self._flat = (flat, np.array(self.starts, dtype=np.int64))
+        simple, words, other, alone = [], [], [], []
+        for chunk in new:
+            if found := _SIMPLE.fullmatch(chunk):
+                simple.append(chunk)
+                words.append(2 if found[1] else 1)
+            elif _MARK.encode() in chunk:
+                alone.append(chunk)
+            else:
+                other.append(chunk)
+        ids = self._joined(simple, " ")
+        ends = np.concatenate([[0], np.flatnonzero(self.ends_word[ids]) + 1])[np.cumsum([0, *words])]
+        marked = self._joined(other, _MARK)
+        at = np.flatnonzero(marked == self.mark)
+        lone = [np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, dtype=np.uint32) for c in alone]
+        lengths = np.concatenate([np.diff(ends), np.diff(at, prepend=-1) - 1, [len(x) for x in lone]]).astype(np.int64)
+        self.index.update(zip(simple + other + alone, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, ids, marked[marked != self.mark], *lone])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.used += sum(map(len, new)) + 4 * int(lengths.sum()) + 130 * len(new)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
         if self.used > self.room:
             self._clear()
-        chunks = [t.split() for t in texts]
-        words = [w for c in chunks for w in c]
-        if new := [w for w in dict.fromkeys(words) if w not in self.index]:
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-        flat, starts = self._flat
-        lengths = starts[at + 1] - starts[at]
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]  # special tokens are looked for before case is lowered
+        words = list(chain.from_iterable(chunks))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(missing := np.flatnonzero(at < 0)):
+            self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
+            at[missing] = [self.index[words[i]] for i in missing.tolist()]
+        lengths = np.diff(self.starts)[at]
         ends = np.cumsum(lengths)
-        ids = flat[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(c) for c in chunks])]).astype(np.int64)]
+        ids = self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, chunks)])].astype(np.int64)
         return ids, np.diff(bounds)
 
 
+@lru_cache(maxsize=2)
+def tokenizer_at(path: str) -> ChunkTokenizer:
+    """One for each Python worker, kept from task to task."""
+    return ChunkTokenizer(path)
+
+
 def tokenise(docs: DataFrame, params: PackingParams) -> DataFrame:
     """Pass one: doc_id, ids (little-endian binary: 16 bits an id if the vocabulary allows, else 32; without end_id), n (with
     it), part, start: the ids before the document in its partition. Stored, so that parts and starts stay as they are."""
@@ -76,7 +112,7 @@ def tokenise(docs: DataFrame, params: PackingParams) -> DataFrame:
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, before = ChunkTokenizer(params.tokenizer), 0
+        tokenizer, before = tokenizer_at(params.tokenizer), 0
         width = id_width(tokenizer.tokenizer.get_vocab_size())
         for batch in batches:
             for part in slices(batch, 1):

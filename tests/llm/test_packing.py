@@ -9,7 +9,7 @@ from quarry.llm.packing import ChunkTokenizer, PackingParams, pieces, sequences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
-    "Hello world, it's 42!", "", None, "a" * 5000, "x y ́z é <|endoftext|>in<|startoftext|> side", " \t\n ", "\x1c\x1d odd \x85 spaces　here",
+    "Hello world, it's 42!", "Straße, naïve; ÄÖ| × ÷a à. b..", "<|startoftext|>", "a<|STARTOFTEXT|>b <|startoftext|>.", "", None, "a" * 5000, "x y ́z é <|endoftext|>in<|startoftext|> side", " \t\n ", "\x1c\x1d odd \x85 spaces　here",
     "ΑΣ ΟΔΟΣ İstanbul ǅ", "word " * 6000, "tail\x00nul", "I'VE they'll don't", "Hello world, it's 42!",
 ]
 
