@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, language, mixing, packing, quality, sharding, simhash
+from quarry.llm import ann, chat, language, mixing, packing, quality, sharding, simhash
 from quarry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op8_quality": op8_quality, "op10_language": op10_language}
+    return {"op1_neighbours": op1_neighbours, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op8_quality": op8_quality, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
