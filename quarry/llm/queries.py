@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, chat, language, mixing, packing, quality, sharding, simhash
+from quarry.llm import ann, chat, language, mixing, packing, quality, sharding, simhash, suffix
 from quarry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +44,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_neighbours": op1_neighbours, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op8_quality": op8_quality, "op10_language": op10_language}
+    return {"op1_neighbours": op1_neighbours, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_sharding": op5_sharding, "op7_chat": op7_chat, "op8_quality": op8_quality, "op9_suffixes": op9_suffixes, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
