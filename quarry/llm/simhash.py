@@ -180,3 +180,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "root").select("fp", "component_id")
     return kept.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """rows (row, text) with the text's distinct shingles, as 32-bit hashes in order, packed into the column shingles."""
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                packed = [np.unique(np.array(shingle_hashes(t, size), np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for t in to_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["row", "shingles"])
+
+    return rows.select("row", "text").mapInArrow(run, f"row {kind}, shingles binary")
+
+
+def _similar(pairs: DataFrame, least: float) -> DataFrame:
+    """pairs: row, shingles, other (a set likewise); gives row, similar: whether the Jaccard similarity is at least that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for a, b in zip(to_bytes(batch.column(1)), to_bytes(batch.column(2)), strict=True):
+                both = len(np.intersect1d(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), assume_unique=True))
+                alike.append(a == b or both >= least * ((len(a) + len(b)) // 4 - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alike, pa.bool_())], names=["row", "similar"])
+
+    return pairs.select("row", "shingles", "other").mapInArrow(run, "row long, similar boolean")
+
+
+def drop_near_copies(docs: DataFrame, radius: int = 6, shingle: int = 5, similarity: float = 0.8, shard_rows: int = 2048, rounds: int = 4) -> DataFrame:
+    """The rows of docs without near copies, all columns kept. Components of fingerprints within the radius are candidates; in
+    each the row of the smallest doc_id (nulls last) stays, and rows whose word shingles have at least the similarity with its
+    go. Rows unlike it form what is left of the component, where the same is done again, rounds times at most; what is unlike
+    all of those stays. Each round compares a row once, so a group of any size takes work in proportion. Empty texts are one
+    group; an empty table gives no rows."""
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    light = numbered.select(F.col("__row").alias("row"), "doc_id", "text")
+    prints = stored(fingerprints(light).select("row", "doc_id", "fp"))
+    roots = components(link(prints.select("fp").distinct(), radius, shard_rows)).withColumnRenamed("node", "fp")
+    grouped = prints.join(roots, "fp", "left").select("row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place"), F.coalesce("root", "fp").alias("root"))
+    shared = grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    left = stored(grouped.join(shared, "root"))
+    sets = stored(_shingle_sets(light.join(left.select("row"), "row", "left_semi"), shingle))
+    gone: list[DataFrame] = []
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        first = left.groupBy("root").agg(F.min("place").alias("place")).select("root", F.col("place.row").alias("first"))
+        other = first.join(sets.select(F.col("row").alias("first"), F.col("shingles").alias("other")), "first")
+        pairs = left.join(sets, "row").join(other, "root").where(F.col("row") != F.col("first"))
+        judged = stored(_similar(pairs, similarity))
+        gone.append(judged.where("similar").select("row"))
+        left = stored(left.join(judged.where("not similar"), "row", "left_semi"))
+    for rows in gone:
+        numbered = numbered.join(rows.withColumnRenamed("row", "__row"), "__row", "left_anti")
+    return numbered.select(*docs.columns)

@@ -396,3 +396,23 @@ def dedup(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
     )
+
+
+def cut_documents(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
+    """docs with every repeated string cut from text and n_chars, where there is one, set to what is left; all rows stay. A
+    character that a cut leaves in part goes. Texts that stand there more than once and have length bytes become empty."""
+    plain = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    keyed = docs.withColumn("__key", F.unhex(F.md5(plain)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode(errors="ignore") for b in to_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["__key", "__text"])
+
+    left = cut_texts(docs, params).select("key", "kept").mapInArrow(run, "__key binary, __text string")
+    many = keyed.where(F.octet_length("text") >= params.length).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1")
+    facts = left.unionByName(many.select("__key", F.lit("").alias("__text")))
+    done = keyed.join(facts, "__key", "left").withColumn("text", F.coalesce("__text", "text"))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("__text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
