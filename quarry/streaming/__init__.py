@@ -1,0 +1,2 @@
+"""Rule mining reads whole tables: overlap, inclusion and distinct-key counts have no form that a window of a stream could answer,
+so there are no streaming operators here."""
