@@ -46,6 +46,8 @@ def occurrence(catalog: Catalog, alias: Alias, needed: Iterable[Cell], edges: It
     """The needed columns of an occurrence under names of their own, where equalities inside the row hold."""
     table, number = alias
     own = sorted({c for c in needed if c.alias == alias})
+    for c in own:
+        _kind(catalog, c)
     out = catalog[table].select(*(F.col(f"`{c.column}`").alias(name(c)) for c in own))
     inside = [equals(catalog, e.left, e.right) for e in sorted(edges) if e.aliases == {alias}]
     return out.where(reduce(Column.__and__, inside)) if inside else out
@@ -121,6 +123,13 @@ def count_keys(catalog: Catalog, edges: Iterable[Edge], keys: Sequence[Cell], re
     return keys_of(catalog, edges, keys, reduced).agg(F.count("*").alias("n"))
 
 
+def filled_keys(catalog: Catalog, edges: Iterable[Edge], keys: Sequence[Cell]) -> DataFrame:
+    """Distinct tuples of keys without nulls, in the join or, without equalities, in their one occurrence: values that a rule's
+    variables can take."""
+    found = keys_of(catalog, edges, keys) if edges else occurrence(catalog, keys[0].alias, keys, ()).distinct()
+    return found.dropna()
+
+
 def _tree(edges: set[Edge], key_aliases: set[Alias]) -> tuple[list[Alias], dict[Alias, set[Alias]]] | None:
     """Leaves that hold no key in an order to take them off a join tree, with their neighbours; None if it has a cycle."""
     links: dict[Alias, set[Alias]] = {a: set() for a in aliases(edges)}
@@ -183,11 +192,7 @@ class Counter:
                 self.known[part[row["i"]]] = row["n"]
 
     def _count(self, edges: frozenset[Edge], keys: frozenset[Cell]) -> DataFrame:
-        own = sorted(keys)
-        if edges:
-            return count_keys(self.catalog, edges, own)
-        plain = occurrence(self.catalog, own[0].alias, own, ())
-        return plain.dropna().distinct().agg(F.count("*").alias("n"))
+        return filled_keys(self.catalog, edges, sorted(keys)).agg(F.count("*").alias("n"))
 
     def __getitem__(self, question: tuple[Iterable[Edge], Iterable[Cell]]) -> int:
         if self._question(*question) not in self.known:

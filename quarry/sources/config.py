@@ -11,7 +11,7 @@ def load_yaml(path: str) -> dict:
     import yaml
 
     file = Path(path)
-    return (yaml.safe_load(file.read_text(encoding="utf-8")) or {}) if file.exists() else {}
+    return (yaml.safe_load(file.read_text(encoding="utf-8")) or {}) if file.is_file() else {}
 
 
 @dataclass(frozen=True)
