@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import permutations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,7 +181,19 @@ class Counter:
 
     @staticmethod
     def _question(edges: Iterable[Edge], keys: Iterable[Cell]) -> tuple:
-        return frozenset(edges), frozenset(keys)
+        """The question with occurrences numbered so that questions which differ in numbers alone are equal: the least of all
+        numberings (occurrences of a table are few)."""
+        edges, keys = list(edges), list(keys)
+        own: dict[str, list[int]] = {}
+        for table, number in sorted(aliases(edges) | {k.alias for k in keys}):
+            own.setdefault(table, []).append(number)
+        forms = []
+        for order in product(*(permutations(range(len(o))) for o in own.values())):
+            new = {(t, o): n for (t, os), numbers in zip(own.items(), order, strict=True) for o, n in zip(os, numbers, strict=True)}
+            moved = lambda c, new=new: Cell(c.table, new[c.alias], c.column)
+            forms.append((sorted(Edge.of(moved(e.left), moved(e.right)) for e in edges), sorted(map(moved, keys))))
+        least = min(forms)
+        return frozenset(least[0]), frozenset(least[1])
 
     def ask(self, questions: Iterable[tuple[Iterable[Edge], Iterable[Cell]]]) -> None:
         """questions: (edges, keys); without edges the keys are those of one occurrence."""

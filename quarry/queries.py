@@ -424,9 +424,9 @@ def horn_pca(spark, sf_dir):
 
 @query()
 def horn_mining(spark, sf_dir):
-    """All Horn rules with one or two body atoms over the references of nation and supplier that hold at least once."""
+    """The measures of all Horn rules with one or two body atoms over the references of nation and supplier."""
     own = facts.triples(catalog(spark, sf_dir, ("nation", "region", "supplier")))
-    return facts.mine_horn(own.where(F.col("predicate").isin("nation.n_regionkey", "supplier.s_nationkey")), length=3)
+    return facts.mine_horn(own.where(F.col("predicate").isin("nation.n_regionkey", "supplier.s_nationkey")), length=3, min_support=0)
 
 
 @query(f"""WITH t AS (SELECT DISTINCT * FROM ({_triples_sql(True)})), n AS (SELECT predicate, object, count(*) AS n FROM t GROUP BY 1, 2),
