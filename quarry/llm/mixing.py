@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import discard, stored
 
 LEVELS = ("domain", "language", "origin")
 #: Leaf plans are broadcast up to this many leaves (about 100 bytes each) and joined by shuffle beyond.
@@ -121,7 +121,9 @@ def plan(docs: DataFrame, params: MixParams) -> tuple[DataFrame, int, int]:
     through = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
     ends = sums.withColumn("through", through).withColumn("before", F.col("through") - F.col("tokens"))
     ends = ends.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("through"))).select(*LEVELS, "bucket", "before")
-    return granted.join(ends, list(LEVELS), "left").select(*LEVELS, "full", "rest", "bucket", "before"), digits, size[1]
+    leaf_plan = stored(granted.join(ends, list(LEVELS), "left").select(*LEVELS, "full", "rest", "bucket", "before"))
+    discard(light, granted)
+    return leaf_plan, digits, size[1]
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -132,7 +134,6 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     others, in the prefix of a partial one if they stand before its end. A null id has an order of its own; repeated rows
     count as often as they stand there. A leaf's rows meet in no task: only those of the bucket that a prefix ends in do."""
     leaf_plan, digits, leaves = plan(docs, params)
-    leaf_plan = stored(leaf_plan)
     own = docs.drop(*LEVELS, "epoch", "tokens", "take_tokens")
     names = [n for n in own.columns]
     keyed = own.withColumns({f"__{n}": c for n, c in leaf_columns().items()})

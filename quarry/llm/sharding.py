@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import discard, stored
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,9 @@ def propagate(rows: DataFrame, params: ShardParams) -> DataFrame:
         still = aimed.where(F.col("link").isNotNull() & F.col("target").isNull()).select("row", "link", "shard")
         singles = numbered(aimed.where(F.col("link").isNull()), ["shard"], ["row"], "nth", total, params.bucket_rows)
         singles = singles.select("row", "link", F.coalesce(_among(ways, F.col("nth"), F.col("shard")), F.col("shard")).alias("shard"))
-        now = stored(movers.unionByName(still).unionByName(singles))
+        moved = stored(movers.unionByName(still).unionByName(singles))
+        discard(now, aimed)
+        now = moved
     return now.select("row", "shard")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import slices, stored, to_bytes
+from quarry.llm.common import discard, slices, stored, to_bytes
 from quarry.llm.components import components, local_roots
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -232,7 +232,10 @@ def drop_near_copies(docs: DataFrame, radius: int = 6, shingle: int = 5, similar
         pairs = left.join(sets, "row").join(other, "root").where(F.col("row") != F.col("first"))
         judged = stored(_similar(pairs, similarity))
         gone.append(judged.where("similar").select("row"))
-        left = stored(left.join(judged.where("not similar"), "row", "left_semi"))
+        rest = stored(left.join(judged.where("not similar"), "row", "left_semi"))
+        discard(left)
+        left = rest
+    discard(prints, left, sets)
     for rows in gone:
         numbered = numbered.join(rows.withColumnRenamed("row", "__row"), "__row", "left_anti")
     return numbered.select(*docs.columns)

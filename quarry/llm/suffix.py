@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, stored, to_bytes
+from quarry.llm.common import discard, slices, stored, to_bytes
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACE = np.uint64((1 << 24) - 1)
@@ -346,6 +346,7 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
         regions = stored(regions)
         spans = _shard_spans(regions.where("not hot"), params).unionByName(_hot_spans(regions.where("hot"), params))
     spans = stored(spans)
+    discard(table, repeated, candidates, regions)
     _settle(spark)
     return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found"))
 
@@ -411,7 +412,8 @@ def cut_documents(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Dat
 
     left = cut_texts(docs, params).select("key", "kept").mapInArrow(run, "__key binary, __text string")
     many = keyed.where(F.octet_length("text") >= params.length).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1")
-    facts = left.unionByName(many.select("__key", F.lit("").alias("__text")))
+    facts = stored(left.unionByName(many.select("__key", F.lit("").alias("__text"))))
+    _settle(docs.sparkSession)
     done = keyed.join(facts, "__key", "left").withColumn("text", F.coalesce("__text", "text"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("__text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
