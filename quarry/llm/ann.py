@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import sampled, stored
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,7 @@ def _routed(queries: DataFrame, top: KDTree, size: int, params: AnnParams, home:
 def _one_size(base: DataFrame, queries: DataFrame, size: int, params: AnnParams) -> DataFrame:
     """base: id, vector, at most k + 1 of each vector; queries: id, vector. Gives query, id, score: k + 1 of each query."""
     total = base.count()
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(params.sample_rows).select("vector").toArrow()
+    sample = sampled(base, F.col("id"), params.sample_rows, total).orderBy(F.xxhash64("id"), "id").limit(params.sample_rows).select("vector").toArrow()
     points = Projection(size, params)(_matrix(sample.column("vector").combine_chunks()))
     cells = max(1, 1 << math.ceil(math.log2(total / params.cell_rows))) if total > params.cell_rows else 1
     top = KDTree(points, max(1, math.ceil(len(points) / cells)), tight=False)

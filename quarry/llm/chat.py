@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, to_bytes
+from quarry.llm.common import map_text, slices, to_bytes
 
 OPEN, MIDDLE, CLOSE = b"<s>[", b"]\n", b"</s>\n"
 ESCAPE, ESCAPED = ord("\\"), b"\\<[]"
@@ -97,7 +97,7 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     done = plain.repartitionByRange(*key).sortWithinPartitions(*key).select("conv_id", "role", "text")
     schema = f"conv_id {kind}, piece long, formatted binary, n_turns long, loss_start array<long>, loss_length array<long>"
-    return done.mapInArrow(run, schema).withColumn("part", F.spark_partition_id()).select("conv_id", "part", "piece", "formatted", "n_turns", "loss_start", "loss_length")
+    return map_text(done, run, schema).withColumn("part", F.spark_partition_id()).select("conv_id", "part", "piece", "formatted", "n_turns", "loss_start", "loss_length")
 
 
 class _Digest:
@@ -152,4 +152,4 @@ def read_back(pieces: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
 
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece").select("conv_id", "formatted", "loss_start", "loss_length")
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_text(ordered, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
@@ -13,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about this many bytes, whatever the size of an Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Arrow batches of texts have at most this many rows.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +57,37 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def map_text(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """df.mapInArrow(run, schema) for rows that may be long: the session's Arrow batches are cut to BATCH_ROWS rows, and a worker,
+    which lives on between tasks, gives freed memory back at a task's end."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Returns what the allocators hold free to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sampled(df: DataFrame, key: Column, rows: int, of: int) -> DataFrame:
+    """The rows of least hashed key, about four times as many as wanted of a table of that size, so that a top-k after it
+    sends little from each partition."""
+    parts = 1 << 30
+    most = parts if of <= 4 * rows else max(1, 4 * rows * parts // of)
+    return df.where(F.pmod(F.xxhash64(key, F.lit(29)), F.lit(parts)) < most)
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """A batch in row slices whose text column holds about SLICE_BYTES each; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, slices
+from quarry.llm.common import fold, map_text, sampled, slices
 from quarry.llm.compression import SizeModel, gather
 
 UNDETERMINED = "und"
@@ -75,7 +75,8 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
     dictionaries = []
     for row in counts:
         sample = (
-            known.where((F.col("lang") == row["lang"]) & F.length("text").between(32, params.sample_chars))
+            sampled(known.where(F.col("lang") == row["lang"]), F.col("text"), params.sample_rows, row["n"])
+            .where(F.length("text").between(32, params.sample_chars))
             .select("text", F.xxhash64("text").alias("h"), "doc_id").orderBy("h", "doc_id").limit(params.sample_rows)
         )
         texts = dict.fromkeys(normalise(r["text"]) for r in sample.collect())
@@ -104,7 +105,7 @@ def identify(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Data
                 )
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    done = narrow.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double, rejected boolean")
+    done = map_text(narrow.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, margin double, rejected boolean")
     return done.withColumn("held_out", fold(F.col("doc_id"), params.folds) == params.held_out).select(
         "doc_id", "held_out", "lang_pred", "score", "margin", "rejected"
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, stored, to_bytes
+from quarry.llm.common import map_text, slices, stored, to_bytes
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class ChunkTokenizer:
     chunks are encoded joined: simple ones by spaces, as the ids that end words tell them apart, others by a special token.
     The table starts anew when it outgrows its room."""
 
-    def __init__(self, path: str, room_bytes: int = 160 << 20) -> None:
+    def __init__(self, path: str, room_bytes: int = 96 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -130,7 +130,7 @@ def tokenise(docs: DataFrame, params: PackingParams) -> DataFrame:
                     names=["doc_id", "ids", "n", "width", "start"],
                 )
 
-    tokens = narrow.mapInArrow(run, f"doc_id {kind}, ids binary, n long, width int, start long")
+    tokens = map_text(narrow, run, f"doc_id {kind}, ids binary, n long, width int, start long")
     return stored(tokens.withColumn("part", F.spark_partition_id()))
 
 
@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, params: PackingParams, keep_ids: bool = False) -> Da
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
         "begins boolean, ends boolean, sequence_tokens long"
     )
-    return tokens.select("doc_id", "ids", "n", "width", "start", "part").mapInArrow(run, schema + ", ids array<int>" * keep_ids)
+    return map_text(tokens.select("doc_id", "ids", "n", "width", "start", "part"), run, schema + ", ids array<int>" * keep_ids)
 
 
 def _cut_rows(rows: pa.RecordBatch, base: dict[int, int], total: int, window: int, end_id: int, keep_ids: bool) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import fold, slices, to_bytes
+from quarry.llm.common import fold, map_text, sampled, slices, to_bytes
 from quarry.llm.compression import Logistic, SizeModel, gather
 
 
@@ -63,7 +63,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     by_class: list[list[bytes]] = []
     for quality in (1, 0):
-        ids = known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_rows).select("doc_id")
+        own = sampled(known.where(F.col("quality") == quality), F.col("doc_id"), params.sample_rows, counts.get(quality, 0))
+        ids = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_rows).select("doc_id")
         rows = (
             docs.join(F.broadcast(ids), "doc_id", "left_semi")  # at most sample_rows ids
             .where((F.length("text") > 0) & (F.length("text") <= params.sample_chars))
@@ -96,7 +97,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 values = pa.array(model.score(to_bytes(part.column(at))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, "quality_score"])
 
-    return docs.drop("quality_score").mapInArrow(run, schema)
+    return map_text(docs.drop("quality_score"), run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:

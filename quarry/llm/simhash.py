@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import discard, slices, stored, to_bytes
+from quarry.llm.common import discard, give_back, map_text, slices, stored, to_bytes
 from quarry.llm.components import components, local_roots
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 prints = majority_bits(np.concatenate([*found, np.zeros(0, np.uint64)]), np.array([len(f) for f in found], dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(prints.view(np.int64))], names=[*rows.schema.names, "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+    return map_text(docs, run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 class BKTree:
@@ -99,8 +99,8 @@ class BKTree:
         todo = [(q, at)]
         while todo:
             q, at = todo.pop()
-            if len(q) > 1 << 18:  # depth first in portions, so that the frontier stays small
-                todo += [(q[i : i + (1 << 17)], at[i : i + (1 << 17)]) for i in range(0, len(q), 1 << 17)]
+            if len(q) > 1 << 15:  # depth first in portions, so that the frontier stays small
+                todo += [(q[i : i + (1 << 14)], at[i : i + (1 << 14)]) for i in range(0, len(q), 1 << 14)]
                 continue
             d = np.bitwise_count(queries[q] ^ self.prints[at]).astype(np.int64)
             if (hit := d <= radius).any():
@@ -162,10 +162,11 @@ def link(prints: DataFrame, radius: int = 2, shard_rows: int = 1 << 15) -> DataF
         if root is None:
             root = np.arange(len(members))
         own = np.flatnonzero(root != np.arange(len(members)))
+        give_back()
         return pd.DataFrame({"a": members[own].view(np.int64), "b": members[root[own]].view(np.int64)})
 
     sharded = keys.select("fp", F.pmod(F.xxhash64("mask", "value"), F.lit(shards)).alias("shard"))
-    return sharded.groupBy("shard").applyInPandas(run, "a long, b long")
+    return sharded.repartition(min(shards, 8192), "shard").groupBy("shard").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -192,7 +193,7 @@ def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
                 packed = [np.unique(np.array(shingle_hashes(t, size), np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for t in to_bytes(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["row", "shingles"])
 
-    return rows.select("row", "text").mapInArrow(run, f"row {kind}, shingles binary")
+    return map_text(rows.select("row", "text"), run, f"row {kind}, shingles binary")
 
 
 def _similar(pairs: DataFrame, least: float) -> DataFrame:
@@ -206,7 +207,7 @@ def _similar(pairs: DataFrame, least: float) -> DataFrame:
                 alike.append(a == b or both >= least * ((len(a) + len(b)) // 4 - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alike, pa.bool_())], names=["row", "similar"])
 
-    return pairs.select("row", "shingles", "other").mapInArrow(run, "row long, similar boolean")
+    return map_text(pairs.select("row", "shingles", "other"), run, "row long, similar boolean")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 6, shingle: int = 5, similarity: float = 0.8, shard_rows: int = 2048, rounds: int = 4) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, slices, stored, to_bytes
+from quarry.llm.common import discard, map_text, slices, stored, to_bytes
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACE = np.uint64((1 << 24) - 1)
@@ -71,16 +71,16 @@ def anchors(texts: list[bytes], params: SuffixParams) -> tuple[np.ndarray, ...]:
     lo = 0
     while lo < len(texts):  # the places in a portion of texts fit 24 bits
         hi = lo + 1
-        while hi < len(texts) and ends[hi] - (ends[lo] - sizes[lo]) < 1 << 22:
+        while hi < len(texts) and ends[hi] - (ends[lo] - sizes[lo]) < 1 << 20:
             hi += 1
-        found += _anchors(texts[lo:hi], lo, params) if hi - lo > 1 or sizes[lo] < 1 << 23 else _long_anchors(texts[lo], lo, params)
+        found += _anchors(texts[lo:hi], lo, params) if hi - lo > 1 or sizes[lo] < 1 << 21 else _long_anchors(texts[lo], lo, params)
         lo = hi
     return tuple(np.concatenate([f[i] for f in found]) for i in range(5)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
 def _long_anchors(text: bytes, number: int, params: SuffixParams) -> list[tuple[np.ndarray, ...]]:
     """A very long text in portions that overlap by length - 1 bytes, so that each string lies within one."""
-    out, step = [], 1 << 22
+    out, step = [], 1 << 20
     for start in range(0, max(1, len(text) - params.length + 1), step):
         for part in _anchors([text[start : start + step + params.length - 1]], number, params):
             out.append((part[0], part[1], part[2] + start, part[3], part[4]))
@@ -226,7 +226,7 @@ def _anchor_table(docs: DataFrame, params: SuffixParams) -> DataFrame:
                 text, hashes, place, far, near = anchors(texts, params)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(_short(keys)[text]), pa.array(place << 16 | far << 8 | near)], names=["hash", "short", "packed"])
 
-    return docs.select("text").mapInArrow(run, "hash long, short long, packed long")
+    return map_text(docs.select("text"), run, "hash long, short long, packed long")
 
 
 def _text_table(docs: DataFrame, params: SuffixParams) -> DataFrame:
@@ -236,7 +236,7 @@ def _text_table(docs: DataFrame, params: SuffixParams) -> DataFrame:
         for keys, texts in _distinct(batches, params.length):
             yield pa.RecordBatch.from_arrays([pa.array(_short(keys)) if keys else pa.array([], pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.binary())], names=["short", "key", "text"])
 
-    return docs.select("text").mapInArrow(run, "short long, key binary, text binary")
+    return map_text(docs.select("text"), run, "short long, key binary, text binary")
 
 
 def _regions(texts: DataFrame, candidates: DataFrame, length: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _regions(texts: DataFrame, candidates: DataFrame, length: int) -> DataFrame:
     left = texts.select("short", "key", "text", none.cast("long").alias("hash"), none.cast("long").alias("packed"), none.cast("boolean").alias("hot"))
     right = candidates.select("short", none.cast("binary").alias("key"), none.cast("binary").alias("text"), "hash", "packed", "hot")
     both = left.unionByName(right).repartition("short").sortWithinPartitions("short", F.col("key").isNull())
-    return both.mapInArrow(run, "hash long, hot boolean, key binary, place long, far long, near long, region binary, copied long")
+    return map_text(both, run, "hash long, hot boolean, key binary, place long, far long, near long, region binary, copied long")
 
 
 def _shard_spans(regions: DataFrame, params: SuffixParams) -> DataFrame:
@@ -300,7 +300,7 @@ def _shard_spans(regions: DataFrame, params: SuffixParams) -> DataFrame:
         if held[0]:
             yield _shard(held, params)
 
-    return regions.select(*names).repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "key binary, start long, end long")
+    return map_text(regions.select(*names).repartition("hash").sortWithinPartitions("hash"), run, "key binary, start long, end long")
 
 
 def _hot_spans(regions: DataFrame, params: SuffixParams) -> DataFrame:
@@ -319,7 +319,7 @@ def _hot_spans(regions: DataFrame, params: SuffixParams) -> DataFrame:
                 columns = list(zip(*strings, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "start", "digest", "copied"])
 
-    strings = regions.select("key", "place", "far", "region", "copied").mapInArrow(run, "key binary, start long, digest binary, copied long")
+    strings = map_text(regions.select("key", "place", "far", "region", "copied"), run, "key binary, start long, digest binary, copied long")
     twice = strings.groupBy("digest").agg(F.sum(F.col("copied") + 1).alias("n")).where("n > 1").select("digest")
     return strings.where("copied = 0").join(twice, "digest", "left_semi").select("key", "start", (F.col("start") + params.length).alias("end"))
 
@@ -367,19 +367,20 @@ def cut_texts(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed, spans = [], [], []
-            for text, found in zip(to_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                cuts = _merged(found)
-                ends = [0, *(e for _, e in cuts)]
-                starts = [*(s for s, _ in cuts), len(text)]
-                kept.append(b"".join(text[e:s] for e, s in zip(ends, starts, strict=True)))
-                removed.append(len(text) - len(kept[-1]))
-                spans.append(len(cuts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["key", "kept", "n_removed", "n_spans"])
+            for part in slices(batch, 1):
+                kept, removed, spans = [], [], []
+                for text, found in zip(to_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
+                    cuts = _merged(found)
+                    ends = [0, *(e for _, e in cuts)]
+                    starts = [*(s for s, _ in cuts), len(text)]
+                    kept.append(b"".join(text[e:s] for e, s in zip(ends, starts, strict=True)))
+                    removed.append(len(text) - len(kept[-1]))
+                    spans.append(len(cuts))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["key", "kept", "n_removed", "n_spans"])
 
     found = repeated_spans(docs, params)
     joined = _text_table(docs, params).select("key", "text").join(found, "key")
-    return joined.mapInArrow(run, "key binary, kept binary, n_removed long, n_spans long")
+    return map_text(joined, run, "key binary, kept binary, n_removed long, n_spans long")
 
 
 def dedup(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
@@ -410,7 +411,7 @@ def cut_documents(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Dat
             texts = [b.decode(errors="ignore") for b in to_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["__key", "__text"])
 
-    left = cut_texts(docs, params).select("key", "kept").mapInArrow(run, "__key binary, __text string")
+    left = map_text(cut_texts(docs, params).select("key", "kept"), run, "__key binary, __text string")
     many = keyed.where(F.octet_length("text") >= params.length).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1")
     facts = stored(left.unionByName(many.select("__key", F.lit("").alias("__text"))))
     _settle(docs.sparkSession)
