@@ -91,14 +91,17 @@ def u_test(df: DataFrame, value: str, group: str, a: object, b: object) -> DataF
 
 
 def cumulated(df: DataFrame, order: str, columns: list[str], parts: int = 64) -> DataFrame:
-    """Adds before_<c>: the sum of c over rows of smaller order. Rows are dealt by ranges of order and summed within; the ranges'
-    totals are summed apart, so nothing is sorted in one task."""
-    ranged = df.repartitionByRange(parts, order).withColumn("__p", F.spark_partition_id())
-    bounds = ranged.groupBy("__p").agg(F.min(order).alias("__low"), *(F.sum(c).alias(f"__t_{c}") for c in columns))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)  # parts rows
-    totals = bounds.select("__p", *(F.coalesce(F.sum(f"__t_{c}").over(ahead), F.lit(0)).alias(f"__o_{c}") for c in columns))
+    """Adds before_<c>: the sum of c over rows of smaller order, whose values are distinct. Rows are dealt into parts at
+    approximate quantiles (parts - 1 numbers on the driver) and summed within; the parts' totals are summed apart, so nothing
+    is sorted in one task."""
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)])).first()[0] or []
+    part = F.size(F.filter(F.array(*(F.lit(float(c)) for c in dict.fromkeys(cuts))), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    dealt = df.withColumn("__p", part)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    totals = dealt.groupBy("__p").agg(*(F.sum(c).alias(f"__t_{c}") for c in columns))
+    totals = totals.select("__p", *(F.coalesce(F.sum(f"__t_{c}").over(ahead), F.lit(0)).alias(f"__o_{c}") for c in columns))
     inside = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i_{c}") for c in columns))
+    summed = dealt.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i_{c}") for c in columns))
     out = summed.join(F.broadcast(totals), "__p")
     return out.select(*df.columns, *((F.col(f"__i_{c}") + F.col(f"__o_{c}")).alias(f"before_{c}") for c in columns))
 
