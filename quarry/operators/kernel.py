@@ -162,6 +162,9 @@ def _folded(catalog: Catalog, edges: set[Edge], keys: list[Cell], leaves: list[A
         held[other] = held[other].join(held[leaf].select(*touching).distinct(), condition(leaf, other), "left_semi")
         gone.add(leaf)
     rest = sorted(set(links) - gone)
+    still = cells(e for e in edges if len(e.aliases) == 2 and not e.aliases & gone) | set(keys)  # what the folded leaves needed is over
+    for alias in rest:
+        held[alias] = held[alias].select(*sorted(name(c) for c in still if c.alias == alias))
     out, done = held[rest[0]].distinct(), {rest[0]}
     while len(done) < len(rest):
         step = next(a for a in rest if a not in done and links[a] & done)
