@@ -94,7 +94,10 @@ def propagate(rows: DataFrame, params: ShardParams) -> DataFrame:
             F.max_by("shard", F.struct(open_shard, "n", F.xxhash64("link", "shard"))).alias("target"), F.count("*").alias("spread")
         )
         best = best.where((F.col("spread") > 1) & F.col("target").isin(np.flatnonzero(spare).tolist())).drop("spread")
-        aimed = stored(now.join(best, "link", "left").withColumn("target", F.when(F.col("target") != F.col("shard"), F.col("target"))))
+        alone = now.where(F.col("link").isNull()).withColumn("target", F.lit(None).cast("int"))  # apart: nulls would meet in one task
+        joined = now.where(F.col("link").isNotNull()).join(best, "link", "left")
+        joined = joined.select("row", "link", "shard", F.when(F.col("target") != F.col("shard"), F.col("target")).alias("target"))
+        aimed = stored(joined.unionByName(alone))
         wanted = np.zeros((k, k), np.int64)
         for r in aimed.where(F.col("target").isNotNull()).groupBy("shard", "target").count().collect():  # shards squared at most
             wanted[r["shard"], r["target"]] = r["count"]
