@@ -21,7 +21,7 @@ class QualityParams:
     """dictionary_bytes: room of each dictionary. sample_rows: labelled rows taken of each class, in hash order: the bound of
     what reaches the driver, with sample_chars as the longest text of a sample. level: of zstandard."""
 
-    dictionary_bytes: int = 128 << 10
+    dictionary_bytes: int = 256 << 10
     sample_rows: int = 2500
     sample_chars: int = 8192
     level: int = 6
