@@ -35,13 +35,29 @@ _SIMPLE = re.compile(_LETTER + rb"+([.,;:!?|]*)")
 _WORD_END, _MARK = "</w>", "<|startoftext|>"
 
 
+class Growing:
+    """An array that is extended in place, with room to spare."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.count = np.zeros(1 << 12, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        end = self.count + len(more)
+        if end > len(self.held):
+            wider = np.zeros(max(end, 2 * len(self.held)), self.held.dtype)
+            wider[: self.count] = self.held[: self.count]
+            self.held = wider
+        self.held[self.count : end] = more
+        self.count = end
+
+
 class ChunkTokenizer:
     """Ids of texts under a byte-pair tokenizer with word ends that lowers case and drops white space: no id spans ASCII white
     space, so each distinct chunk between white space is encoded once and texts are put together from chunks in numpy. New
     chunks are encoded joined: simple ones by spaces, as the ids that end words tell them apart, others by a special token.
     The table starts anew when it outgrows its room."""
 
-    def __init__(self, path: str, room_bytes: int = 96 << 20) -> None:
+    def __init__(self, path: str, room_bytes: int = 128 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,7 +70,7 @@ class ChunkTokenizer:
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.starts, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
+        self.flat, self.begins, self.sizes, self.used = Growing(np.uint32), Growing(np.int64), Growing(np.int64), 0
 
     def _joined(self, chunks: list[bytes], by: str, size: int = 256) -> np.ndarray:
         texts = [by.join([c.decode() for c in chunks[i : i + size]]) + by for i in range(0, len(chunks), size)]
@@ -77,9 +93,10 @@ class ChunkTokenizer:
         at = np.flatnonzero(marked == self.mark)
         lone = [np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, dtype=np.uint32) for c in alone]
         lengths = np.concatenate([np.diff(ends), np.diff(at, prepend=-1) - 1, [len(x) for x in lone]]).astype(np.int64)
-        self.index.update(zip(simple + other + alone, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, ids, marked[marked != self.mark], *lone])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.index.update(zip(simple + other + alone, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.begins.extend(self.flat.count + np.cumsum(lengths) - lengths)
+        self.sizes.extend(lengths)
+        self.flat.extend(np.concatenate([ids, marked[marked != self.mark], *lone]))
         self.used += sum(map(len, new)) + 4 * int(lengths.sum()) + 130 * len(new)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +109,9 @@ class ChunkTokenizer:
         if len(missing := np.flatnonzero(at < 0)):
             self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
             at[missing] = [self.index[words[i]] for i in missing.tolist()]
-        lengths = np.diff(self.starts)[at]
+        lengths = self.sizes.held[at]
         ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat.held[np.repeat(self.begins.held[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, chunks)])].astype(np.int64)
         return ids, np.diff(bounds)
 
