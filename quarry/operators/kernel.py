@@ -6,6 +6,7 @@ that holds no key becomes a semi-join, leaf by leaf, so self-joins over common v
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import permutations, product
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from quarry.plans.joingraph import Alias, Cell, Edge, aliases
 from quarry.sources.catalog import Catalog, canon
 
-#: Counts that go into one job; more make its plan slow to prepare.
-BATCH = 40
+#: Counts that go into one job (more make its plan slow to prepare), and jobs that are prepared and run side by side.
+BATCH, JOBS = 12, 4
 
 
 def name(cell: Cell) -> str:
@@ -201,11 +202,15 @@ class Counter:
     def ask(self, questions: Iterable[tuple[Iterable[Edge], Iterable[Cell]]]) -> None:
         """questions: (edges, keys); without edges the keys are those of one occurrence."""
         new = [q for q in dict.fromkeys(self._question(*q) for q in questions) if q not in self.known]
-        for lo in range(0, len(new), BATCH):
-            part = new[lo : lo + BATCH]
+        parts = [new[lo : lo + BATCH] for lo in range(0, len(new), BATCH)]
+
+        def answer(part: list[tuple]) -> list[tuple[tuple, int]]:
             counted = [self._count(edges, keys).select(F.lit(i).alias("i"), "n") for i, (edges, keys) in enumerate(part)]
-            for row in reduce(DataFrame.unionAll, counted).collect():  # BATCH rows at most
-                self.known[part[row["i"]]] = row["n"]
+            return [(part[r["i"]], r["n"]) for r in reduce(DataFrame.unionAll, counted).collect()]  # BATCH rows at most
+
+        with ThreadPoolExecutor(JOBS) as pool:
+            for found in pool.map(answer, parts):
+                self.known.update(found)
 
     def _count(self, edges: frozenset[Edge], keys: frozenset[Cell]) -> DataFrame:
         return filled_keys(self.catalog, edges, sorted(keys)).agg(F.count("*").alias("n"))
