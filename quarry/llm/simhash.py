@@ -7,12 +7,13 @@ parent) and its own members search it along the edges within the radius."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,8 @@ from quarry.llm.common import discard, give_back, map_text, slices, stored, to_b
 from quarry.llm.components import components, local_roots
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Numbers of rows are broadcast up to this many (8 bytes each) and joined by shuffle beyond.
+BROADCAST_ROWS = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -183,60 +186,166 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return kept.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _packed(text: bytes, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64)).astype("<u8")
+
+
 def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """rows (row, text) with the text's distinct shingles, as 32-bit hashes in order, packed into the column shingles."""
+    """rows (row, text) with the text's distinct shingles, as 64-bit hashes in order, packed into the column shingles."""
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                packed = [np.unique(np.array(shingle_hashes(t, size), np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for t in to_bytes(part.column(1))]
+                packed = [_packed(t, size).tobytes() for t in to_bytes(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["row", "shingles"])
 
     return map_text(rows.select("row", "text"), run, f"row {kind}, shingles binary")
 
 
-def _similar(pairs: DataFrame, least: float) -> DataFrame:
-    """pairs: row, shingles, other (a set likewise); gives row, similar: whether the Jaccard similarity is at least that."""
+def prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first hashes of a set in an order that puts common ones (sorted by value; rank: their order) last. Sets whose Jaccard
+    similarity is at least that share one of these, whatever the order, as more than the rest of either is shared."""
+    if not len(hashes):
+        return hashes
+    n = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
+    if not len(common):
+        return hashes[:n]
+    at = np.minimum(np.searchsorted(common["hash"], hashes), len(common) - 1)
+    last = np.where(common["hash"][at] == hashes, common["rank"][at] + 1, 0)
+    return hashes[np.argsort(last, kind="stable")[:n]]
+
+
+def _common(texts: DataFrame, size: int, total: int, most: int = 1 << 18) -> np.ndarray:
+    """Shingles that a sixteenth of the texts (more of a small table) hold most often. They set an order only: none is left out."""
+    share = max(1 / 16, min(1.0, 4096 / max(total, 1)))
+    sample = texts.where(F.pmod(F.xxhash64("text", F.lit(31)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = []
-            for a, b in zip(to_bytes(batch.column(1)), to_bytes(batch.column(2)), strict=True):
-                both = len(np.intersect1d(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), assume_unique=True))
-                alike.append(a == b or both >= least * ((len(a) + len(b)) // 4 - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alike, pa.bool_())], names=["row", "similar"])
+            for part in slices(batch, 0):
+                for t in to_bytes(part.column(0)):
+                    yield pa.RecordBatch.from_arrays([pa.array(_packed(t, size).view(np.int64))], names=["token"])
 
-    return map_text(pairs.select("row", "shingles", "other"), run, "row long, similar boolean")
+    often = map_text(sample.select("text"), run, "token long").groupBy("token").count().where("count >= 4")
+    found = often.orderBy(F.desc("count"), "token").limit(most).toArrow().column("token").to_numpy().view(np.uint64)
+    common = np.zeros(len(found), [("hash", "<u8"), ("rank", "<i4")])
+    common["hash"], common["rank"] = found, np.arange(len(found))[::-1]
+    return np.sort(common, order="hash")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 6, shingle: int = 5, similarity: float = 0.8, shard_rows: int = 2048, rounds: int = 4) -> DataFrame:
-    """The rows of docs without near copies, all columns kept. Components of fingerprints within the radius are candidates; in
-    each the row of the smallest doc_id (nulls last) stays, and rows whose word shingles have at least the similarity with its
-    go. Rows unlike it form what is left of the component, where the same is done again, rounds times at most; what is unlike
-    all of those stays. Each round compares a row once, so a group of any size takes work in proportion. Empty texts are one
-    group; an empty table gives no rows."""
+def _prefixes(texts: DataFrame, size: int, least: float, common: np.ndarray) -> DataFrame:
+    """texts (row, doc_id, text): row, doc_id, n (distinct shingles), digest of the set, prefix."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                sets = [_packed(t, size) for t in to_bytes(part.column(2))]
+                firsts = [prefix(x, common, least).view(np.int64) for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))],
+                    names=["row", "doc_id", "n", "digest", "prefix"],
+                )
+
+    return map_text(texts.select("row", "doc_id", "text"), run, f"row long, doc_id {kind}, n long, digest binary, prefix array<long>")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Stored numbers of rows, broadcast where they are few, so that texts are not shuffled to meet them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (row, first) of rows of texts whose Jaccard similarity is at least that; stored."""
+    pairs = stored(pairs)
+    own = pairs.select("row").union(pairs.select("first")).distinct()
+    sets = stored(_shingle_sets(texts.join(_few(stored(own)), "row", "left_semi"), size))
+    both = pairs.join(sets, "row").join(sets.select(F.col("row").alias("first"), F.col("shingles").alias("other")), "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for a, b in zip(to_bytes(batch.column(2)), to_bytes(batch.column(3)), strict=True):
+                shared = len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
+                alike.append(shared + 1e-9 >= least * ((len(a) + len(b)) // 8 - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["row", "first"]).filter(pa.array(alike, pa.bool_()))
+
+    done = stored(map_text(both.select("row", "first", "shingles", "other"), run, "row long, first long"))
+    discard(pairs, sets)
+    return done
+
+
+def _sized(least: float) -> Column:
+    """Whether the sizes of place and head allow the similarity."""
+    a, b = F.col("place.n"), F.col("head.n")
+    return F.least(a, b) + 1e-9 >= least * F.greatest(a, b)
+
+
+def _later(edges: DataFrame, places: DataFrame) -> DataFrame:
+    """edges (row, first: similar, of lesser place): the rows that go if each, in order of place, goes when similar to one that
+    stayed before it. Only numbers of rows meet in a component's task, never texts."""
+    roots = components(edges.select(F.col("row").alias("a"), F.col("first").alias("b")))
+    ranked = roots.join(places, F.col("node") == F.col("place.row"))
+    ranked = stored(ranked.select("node", "root", F.row_number().over(Window.partitionBy("root").orderBy("place")).alias("nth")))
+    dealt = edges.join(ranked.select(F.col("node").alias("row"), "root", "nth"), "row").join(ranked.select(F.col("node").alias("first"), F.col("nth").alias("to")), "first")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("nth")
+        gone: dict[int, int] = {}
+        for row, nth, to in zip(part["row"].tolist(), part["nth"].tolist(), part["to"].tolist(), strict=True):
+            if to not in gone:
+                gone[nth] = row
+        return pd.DataFrame({"row": np.array(list(gone.values()), dtype=np.int64)})
+
+    return stored(dealt.select("root", "row", "nth", "to").groupBy("root").applyInPandas(run, "row long"))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 64) -> DataFrame:
+    """The rows of docs without near copies, all columns kept: in order of doc_id (nulls last), a row goes if its word shingles
+    have at least the similarity with those of a row that stays. So no two such rows are left, and each row gone has one.
+
+    Equal sets of shingles count as one. Sets that are similar share a shingle of their prefixes, so all
+    similar pairs are found; simhash fingerprints are not asked. While a shingle has more than crowd rows, rows that nothing
+    comes before are compared with the others of their shingles, and what is similar goes: a large group takes work in
+    proportion. All pairs of a shingle's remaining rows are compared then. Empty texts are one group; an empty table gives no
+    rows."""
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    light = numbered.select(F.col("__row").alias("row"), "doc_id", "text")
-    prints = stored(fingerprints(light).select("row", "doc_id", "fp"))
-    roots = components(link(prints.select("fp").distinct(), radius, shard_rows)).withColumnRenamed("node", "fp")
-    grouped = prints.join(roots, "fp", "left").select("row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place"), F.coalesce("root", "fp").alias("root"))
-    shared = grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    left = stored(grouped.join(shared, "root"))
-    sets = stored(_shingle_sets(light.join(left.select("row"), "row", "left_semi"), shingle))
-    gone: list[DataFrame] = []
-    for _ in range(rounds):
-        if left.isEmpty():
+    texts = numbered.select(F.col("__row").alias("row"), "doc_id", "text")
+    found = stored(_prefixes(texts, shingle, similarity, _common(texts, shingle, numbered.count())))
+    placed = found.select("row", "n", "digest", F.col("doc_id").isNull().alias("last"), "doc_id")
+    placed = placed.select("digest", F.struct("last", "doc_id", "row", "n").alias("place"))
+    sets = stored(placed.groupBy("digest").agg(F.min("place").alias("place")).select("place"))
+    alone = sets.select(F.col("place.row").alias("row"))
+    gone = [found.select("row").join(alone, "row", "left_anti")]
+
+    posts = found.join(alone, "row", "left_semi").select("row", F.explode("prefix").alias("token"))
+    twice = posts.groupBy("token").count().where("count > 1").select("token")
+    live = stored(posts.join(twice, "token").join(sets.withColumn("row", F.col("place.row")), "row").select("token", "place"))
+    gone = [stored(gone[0])]
+    discard(found)
+    before, idle = None, 0
+    while True:
+        heads = stored(live.groupBy("token").agg(F.min("place").alias("head"), F.count("*").alias("n")))
+        crowded = heads.where(F.col("n") > crowd).agg(F.sum("n")).first()[0] or 0
+        idle = idle + 1 if before is not None and crowded > 0.75 * before else 0
+        if not crowded or idle > 3:  # where comparing with heads does not help, all pairs are compared
             break
-        first = left.groupBy("root").agg(F.min("place").alias("place")).select("root", F.col("place.row").alias("first"))
-        other = first.join(sets.select(F.col("row").alias("first"), F.col("shingles").alias("other")), "first")
-        pairs = left.join(sets, "row").join(other, "root").where(F.col("row") != F.col("first"))
-        judged = stored(_similar(pairs, similarity))
-        gone.append(judged.where("similar").select("row"))
-        rest = stored(left.join(judged.where("not similar"), "row", "left_semi"))
-        discard(left)
-        left = rest
-    discard(prints, left, sets)
-    for rows in gone:
-        numbered = numbered.join(rows.withColumnRenamed("row", "__row"), "__row", "left_anti")
-    return numbered.select(*docs.columns)
+        before = min(crowded, before or crowded)
+        seen = live.join(heads.select("token", "head"), "token")
+        ahead = stored(seen.groupBy("place.row").agg(F.min(F.col("place.row") == F.col("head.row")).alias("sure")).where("sure").select("row"))
+        pairs = seen.where((F.col("place.row") != F.col("head.row")) & _sized(similarity)).select(F.col("place.row").alias("row"), F.col("head.row").alias("first")).distinct()
+        judged = _similar(pairs.join(ahead.withColumnRenamed("row", "first"), "first", "left_semi").select("row", "first"), texts, shingle, similarity)
+        gone.append(judged.select("row").distinct())
+        settled = ahead.union(gone[-1])
+        rest = stored(live.withColumn("row", F.col("place.row")).join(settled, "row", "left_anti").select("token", "place"))
+        discard(live, heads)
+        live = rest
+    twos = live.join(heads.where("n > 1").select("token"), "token").select("token", "place")
+    pairs = twos.join(twos.select("token", F.col("place").alias("head")), "token").where((F.col("place") > F.col("head")) & _sized(similarity))
+    edges = _similar(pairs.select(F.col("place.row").alias("row"), F.col("head.row").alias("first")).distinct(), texts, shingle, similarity)
+    if not edges.isEmpty():
+        gone.append(_later(edges, sets))
+    out = stored(reduce(DataFrame.union, gone).withColumnRenamed("row", "__row"))
+    discard(live, heads, sets)
+    return numbered.join(_few(out), "__row", "left_anti").select(*docs.columns)

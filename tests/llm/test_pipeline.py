@@ -80,3 +80,26 @@ def test_packing_covers_what_mixing_took(steps):
     taken = steps[4].groupBy("doc_id").count().collect()
     packed = {r.doc_id: r.n for r in steps[5].where("start = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert packed == {r.doc_id: r["count"] for r in taken}
+
+
+def greedy(texts):
+    kept = []
+    for i, t in enumerate(texts):
+        if all(similarity(t, texts[k]) < 0.8 for k in kept):
+            kept.append(i)
+    return set(kept)
+
+
+def test_pairs_at_the_least_similarity_are_found(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for n in (9, 12, 30, 60, 61, 90, 130) * 6:
+        base = list(rng.choice(vocabulary, n))
+        texts.append(" ".join(base))
+        for at in (1, n // 2, n - 1):
+            texts.append(" ".join([*base[:at], "changed", *base[at + 1 :]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = greedy(texts)
+    assert {r.doc_id for r in drop_near_copies(docs).collect()} == want and len(want) < len(texts) - 60
+    assert {r.doc_id for r in drop_near_copies(docs, crowd=2).collect()} == want
