@@ -103,3 +103,12 @@ def test_pairs_at_the_least_similarity_are_found(spark):
     want = greedy(texts)
     assert {r.doc_id for r in drop_near_copies(docs).collect()} == want and len(want) < len(texts) - 60
     assert {r.doc_id for r in drop_near_copies(docs, crowd=2).collect()} == want
+
+
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_copies_of_many_unlike_texts_go(spark, crowd):
+    """Equal fingerprints, from one shingle that is repeated, but nothing else shared."""
+    texts = ["x " * 300 + " ".join(f"t{i}w{k}" for k in range(20)) for i in range(9)]
+    rows = [(100 * copy + i, t) for copy in range(3) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(docs, crowd=crowd).collect()) == list(range(9))
