@@ -31,8 +31,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights ask for, once per epoch."""
-    return mixing.mix(docs, mixing.QUERY).select(*docs.columns)
+    """The documents that the target weights ask for, once per epoch, to the token that each leaf's budget ends in."""
+    return mixing.taken(docs, mixing.QUERY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,6 +156,17 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     return plain.select(*out).unionByName(edge.select(*out))
 
 
+def taken(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+    """The rows of mix() in the columns of docs: the text of a document that a leaf's budget ends in is cut behind its
+    take_tokens-th word, and n_chars, where there is one, set to what is left."""
+    cut = F.col("take_tokens") < F.col("tokens")
+    ahead = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    out = mix(docs, params).withColumn("text", F.when(cut, F.array_join(F.slice(ahead, 1, F.col("take_tokens").cast("int")), "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 #: The query's targets: domains 4 : 3 : 2 : 1, languages 5 : 2 : 2 : 1, the hot source half of each other one.
 QUERY = MixParams(
     weights={

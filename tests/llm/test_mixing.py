@@ -57,3 +57,15 @@ def test_same_seed_same_choice(spark, docs):
 
 def test_empty_table(spark, docs):
     assert mixed(docs.limit(0)).count() == 0
+
+
+def test_taken_texts_hold_the_budget(spark, docs):
+    params = MixParams(budget_percent=37, max_epochs=2)
+    total = sum(len((r.text or "").split()) for r in docs.collect())
+    spaced = docs.drop("domain", "epoch").withColumn("text", mixing.F.concat(mixing.F.lit(" \t"), "text"))
+    out = mixing.taken(spaced, params)
+    rows = out.collect()
+    assert out.columns == spaced.columns and sum(len((r.text or "").split()) for r in rows) == total * 37 // 100
+    whole = {(r.doc_id, r.text) for r in spaced.collect()}
+    cut = [r for r in rows if (r.doc_id, r.text) not in whole]
+    assert cut and all(r.n_chars == len(r.text) and any(i == r.doc_id and t.startswith(r.text) for i, t in whole if t) for r in cut)
