@@ -22,7 +22,8 @@ _LETTER = regex.compile(r"\p{L}")
 @dataclass(frozen=True)
 class LanguageParams:
     """dictionary_bytes: room of each language's dictionary, filled with whole texts in hash order from at most sample_rows
-    documents of at most sample_chars. languages: the most of them that are learned, by count. margin: a best language whose
+    documents of 32 to sample_chars characters; where those leave half of the room or more, with others too, long ones cut to
+    sample_chars. languages: over so many, all are learned still, and their dictionaries share the room of so many. margin: a best language whose
     lead over the next, as a share of the next one's size, is less counts as rejected; keep_rejected: still name it."""
 
     dictionary_bytes: int = 128 << 10
@@ -67,20 +68,32 @@ def normalise(text: str | None) -> bytes:
     return f" {_NOT_LETTERS.sub(' ', text.lower())} ".encode() if text else b""
 
 
+def _filled(texts: dict[bytes, None], room: int) -> bytes:
+    """Texts joined up to the room, the last one cut where a character begins."""
+    return b"\n".join(texts)[:room].decode(errors="ignore").encode()
+
+
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Learns from text and non-null lang outside the held-out fold (a null id is not held out); counts cover all rows, the
     dictionaries a bounded sample in hash order of the texts."""
     known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED) & (fold(F.col("doc_id"), params.folds) != params.held_out))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(params.languages).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    room = min(params.dictionary_bytes, max(1, params.dictionary_bytes * params.languages // max(1, len(counts))))
     dictionaries = []
     for row in counts:
+        own = known.where(F.col("lang") == row["lang"])
+        usual = F.length("text").between(32, params.sample_chars)
         sample = (
-            sampled(known.where(F.col("lang") == row["lang"]), F.col("text"), params.sample_rows, row["n"])
-            .where(F.length("text").between(32, params.sample_chars))
+            sampled(own, F.col("text"), params.sample_rows, row["n"]).where(usual)
             .select("text", F.xxhash64("text").alias("h"), "doc_id").orderBy("h", "doc_id").limit(params.sample_rows)
         )
         texts = dict.fromkeys(normalise(r["text"]) for r in sample.collect())
-        dictionaries.append(gather(texts, params.dictionary_bytes)[0])
+        raw = gather(texts, room)[0]
+        if len(raw) < room // 2:
+            more = own.where(F.col("text").rlike(r"\p{L}") & ~usual).select(F.substring("text", 1, params.sample_chars).alias("text"), F.xxhash64("text").alias("h"), "doc_id")
+            texts |= dict.fromkeys(normalise(r["text"]) for r in more.orderBy("h", "doc_id").limit(params.sample_rows).collect())
+            raw = _filled(texts, room)
+        dictionaries.append(raw)
     total = sum(r["n"] for r in counts)
     return LanguageModel([r["lang"] for r in counts], SizeModel(dictionaries, params.level), np.array([r["n"] / total for r in counts]))
 

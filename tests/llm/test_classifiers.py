@@ -68,6 +68,16 @@ def test_language(spark, docs):
     assert [r[0] for r in strict] == ["und"]
 
 
+def test_all_languages_are_learned(spark):
+    """More languages than dictionaries of full room, and languages of only short or only long texts."""
+    letters = "bcdfghjklm"
+    word = [f"{letters[i // 10]}a{letters[i % 10]}o" for i in range(5)]
+    rows = [(100 * i + k, f"{w} {w}u {w}i " * (2 + 2000 * (i == 3) if i != 4 else 1), f"l{i}") for i, w in enumerate(word) for k in range(20 - i)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, language.LanguageParams(languages=3)).join(docs, "doc_id").collect()
+    assert all(r.lang_pred == r.lang for r in got) and len({r.lang for r in got}) == 5
+
+
 def test_language_without_labels_or_rows(spark, docs):
     from pyspark.sql import functions as F
 
