@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared folder, batches of text, row-safe numbering."""
+"""What the corpus operators share: the shared folder, stored tables, batches of text, names that can't clash."""
 
 from __future__ import annotations
 
@@ -16,28 +16,25 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about this many bytes, whatever the size of an Arrow batch.
 SLICE_BYTES = 1 << 20
-#: Arrow batches of texts have at most this many rows.
-BATCH_ROWS = 1000
+#: Stored tables of a number and little more are broadcast up to this many rows and joined by shuffle beyond.
+BROADCAST_ROWS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset: a temporary folder if all
+    runs on this machine, else one in the warehouse, which all executors see."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="quarry-")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/quarry-scratch")
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder: lineage ends here and lost executors lose nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """As cut(), but columnar, so that later reads take only the columns they need."""
+    """The rows of df, computed once and kept in the shared folder, by column: lineage ends here, lost executors lose nothing,
+    and later reads take only the columns they need."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -57,12 +54,33 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, broadcast where its count is small, so that what it meets is not shuffled; its keys' hot
+    values then meet in no task."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def shielded(run: Callable[..., DataFrame], own: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> Callable[..., DataFrame]:
+    """run(spark, docs, sf_dir) with every column but own under a name that nothing uses while it runs, so that no column of an
+    operator takes the place of one of docs; all come back in their order, under their names."""
+
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in own else f"__extra_{i}" for i, c in enumerate(docs.columns)]
+        out = run(spark, docs.toDF(*names), sf_dir)
+        return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+    wrapped.__doc__ = run.__doc__
+    return wrapped
+
+
 def map_text(df: DataFrame, run: Callable, schema: object) -> DataFrame:
-    """df.mapInArrow(run, schema) for rows that may be long: the session's Arrow batches are cut to BATCH_ROWS rows, and a worker,
-    which lives on between tasks, gives freed memory back at a task's end."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df.mapInArrow(run, schema) for rows that may be long (Spark bounds the bytes of a batch, and slices() what numpy gets of
+    it); a worker, which lives on between tasks, gives freed memory back at a task's end."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

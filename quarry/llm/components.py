@@ -6,17 +6,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one orderable type. Gives node, root: each node of an edge with the smallest node that it reaches.
-    Loops and repeated edges do nothing; nodes without another have no row; null ends are ignored."""
+    Loops and repeated edges do nothing; nodes without another have no row; null ends are ignored. Each round's table is
+    deleted once the next one stands."""
     linked = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = cut(linked), None
+    now, before = stored(linked), None
     while (state := _state(now)) != before:
         before = state
-        now = cut(_small_star(_large_star(now)))
+        larger = stored(_large_star(now))
+        discard(now)
+        now = stored(_small_star(larger))
+        discard(larger)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -8,21 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import discard, give_back, map_text, slices, stored, to_bytes
+from quarry.llm.common import discard, few, give_back, map_text, quoted, slices, stored, to_bytes
 from quarry.llm.components import components, local_roots
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Numbers of rows are broadcast up to this many (8 bytes each) and joined by shuffle beyond.
-BROADCAST_ROWS = 1 << 20
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -181,39 +181,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     classes = stored(kept.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(link(classes.select("fp"), radius))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "component_id")
-    return kept.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _packed(text: bytes, size: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, size), np.uint64)).astype("<u8")
+    least = stored(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    ids = stored(named.join(few(least), "root").select("fp", "component_id"))
+    discard(classes, least)
+    return kept.join(few(ids), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+class Shingler:
+    """Hashes of the runs of size words of many texts at once: each distinct word is hashed once, and runs are mixed from their
+    words' hashes in numpy. A text with fewer words has one run, a text without words none."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.known = size, {}
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' hashes end to end, repeats included, and how many each has."""
+        split = [t.translate(_LOWER).split() for t in texts]
+        flat = list(chain.from_iterable(split))
+        if len(self.known) > 1 << 20:
+            self.known.clear()
+        self.known.update((w, xxhash.xxh64_intdigest(w, 42)) for w in set(flat).difference(self.known))
+        words = np.fromiter(map(self.known.__getitem__, flat), dtype=np.uint64, count=len(flat))
+        counts = np.array([len(s) for s in split], dtype=np.int64)
+        begins = np.cumsum(counts) - counts
+        runs = np.maximum(counts - self.size + 1, np.minimum(counts, 1))
+        mixed = words[: max(0, len(words) - self.size + 1)]
+        for k in range(1, self.size):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX[0] + words[k : len(mixed) + k]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[1]
+        mixed ^= mixed >> np.uint64(31)
+        at = np.arange(runs.sum()) + np.repeat(begins - np.cumsum(runs) + runs, runs)
+        short = np.flatnonzero((counts > 0) & (counts < self.size))
+        out = np.concatenate([mixed, np.zeros(self.size, np.uint64)])[np.minimum(at, len(mixed))]
+        out[(np.cumsum(runs) - 1)[short]] = np.array([xxhash.xxh64_intdigest(b" ".join(split[i]), 43) for i in short.tolist()], np.uint64)
+        return out, runs
+
+
+def distinct(hashes: np.ndarray, counts: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of counts hashes without repeats, in order of hash, or of last (by hash value the same) and then hash."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, text) if last is None else (hashes, last, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], np.bincount(text[new], minlength=len(counts))
+
+
+def _blobs(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(counts)
+    return [hashes[e - n : e].astype("<u8").tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
 def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """rows (row, text) with the text's distinct shingles, as 64-bit hashes in order, packed into the column shingles."""
-    kind = rows.schema["row"].dataType.simpleString()
+    """rows (place, text) with the text's distinct shingles, as 64-bit hashes in order, packed into the column shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(size)
         for batch in batches:
             for part in slices(batch, 1):
-                packed = [_packed(t, size).tobytes() for t in to_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["row", "shingles"])
+                packed = _blobs(*distinct(*shingles(to_bytes(part.column(1)))))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["place", "shingles"])
 
-    return map_text(rows.select("row", "text"), run, f"row {kind}, shingles binary")
+    return map_text(rows.select("place", "text"), run, "place long, shingles binary")
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """The first hashes of a set in an order that puts common ones (sorted by value; rank: their order) last. Sets whose Jaccard
-    similarity is at least that share one of these, whatever the order, as more than the rest of either is shared."""
-    if not len(hashes):
-        return hashes
-    n = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
-    if not len(common):
-        return hashes[:n]
-    at = np.minimum(np.searchsorted(common["hash"], hashes), len(common) - 1)
-    last = np.where(common["hash"][at] == hashes, common["rank"][at] + 1, 0)
-    return hashes[np.argsort(last, kind="stable")[:n]]
+def prefixes(hashes: np.ndarray, counts: np.ndarray, common: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets in runs of counts hashes, in an order that puts common ones (sorted by value; rank: their order) last, with their
+    sizes, then the first hashes of each set, with their numbers. Sets whose Jaccard similarity is at least that share one
+    of those, whatever the order, as more than the rest of either is shared."""
+    last = np.zeros(len(hashes), np.int32)
+    if len(common) and len(hashes):
+        at = np.minimum(np.searchsorted(common["hash"], hashes), len(common) - 1)
+        last = np.where(common["hash"][at] == hashes, common["rank"][at] + 1, 0)
+    hashes, counts = distinct(hashes, counts, last)
+    firsts = np.where(counts > 0, counts - np.ceil(least * counts - 1e-9).astype(np.int64) + 1, 0)
+    nth = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return hashes, counts, hashes[nth < np.repeat(firsts, counts)], firsts
 
 
 def _common(texts: DataFrame, size: int, total: int, most: int = 1 << 18) -> np.ndarray:
@@ -222,10 +265,10 @@ def _common(texts: DataFrame, size: int, total: int, most: int = 1 << 18) -> np.
     sample = texts.where(F.pmod(F.xxhash64("text", F.lit(31)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(size)
         for batch in batches:
             for part in slices(batch, 0):
-                for t in to_bytes(part.column(0)):
-                    yield pa.RecordBatch.from_arrays([pa.array(_packed(t, size).view(np.int64))], names=["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(distinct(*shingles(to_bytes(part.column(0))))[0].view(np.int64))], names=["token"])
 
     often = map_text(sample.select("text"), run, "token long").groupBy("token").count().where("count >= 4")
     found = often.orderBy(F.desc("count"), "token").limit(most).toArrow().column("token").to_numpy().view(np.uint64)
@@ -234,34 +277,106 @@ def _common(texts: DataFrame, size: int, total: int, most: int = 1 << 18) -> np.
     return np.sort(common, order="hash")
 
 
-def _prefixes(texts: DataFrame, size: int, least: float, common: np.ndarray) -> DataFrame:
-    """texts (row, doc_id, text): row, doc_id, n (distinct shingles), digest of the set, prefix."""
+def _sketches(texts: DataFrame, size: int, least: float, common: np.ndarray) -> DataFrame:
+    """texts (row, doc_id, text): row, doc_id, n (distinct shingles), digest and parity of their set, fp (fingerprint), prefix."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(size)
         for batch in batches:
             for part in slices(batch, 2):
-                sets = [_packed(t, size) for t in to_bytes(part.column(2))]
-                firsts = [prefix(x, common, least).view(np.int64) for x in sets]
+                hashes, runs = shingles(to_bytes(part.column(2)))
+                prints = majority_bits(hashes, runs)
+                sets, counts, firsts, n = prefixes(hashes, runs, common, least)
+                digests = pa.array([xxhash.xxh128_digest(x) for x in _blobs(sets, counts)], pa.binary())
+                ends = np.cumsum(counts).tolist()
+                parities = pa.array([parity(sets[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(firsts.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "n", "digest", "prefix"],
+                    [part.column(0), part.column(1), pa.array(counts, pa.int64()), digests, parities, pa.array(prints.view(np.int64)), lists],
+                    names=["row", "doc_id", "n", "digest", "parity", "fp", "prefix"],
                 )
 
-    return map_text(texts.select("row", "doc_id", "text"), run, f"row long, doc_id {kind}, n long, digest binary, prefix array<long>")
+    return map_text(texts.select("row", "doc_id", "text"), run, f"row long, doc_id {kind}, n long, digest binary, parity binary, fp long, prefix array<long>")
+
+
+def nearest_prints(base: DataFrame, asked: DataFrame, radius: int, most: int = 4, shard_rows: int = 1 << 15) -> DataFrame:
+    """base, asked: distinct fp. Gives asked, fp: fingerprints of base within radius of one asked, the nearest few of each shard
+    (others are left to whoever asks). A shard's BK-tree holds its part of base."""
+    both = base.select("fp", F.lit(1).alias("own"), F.lit(0).alias("ask")).unionByName(asked.select("fp", F.lit(0).alias("own"), F.lit(1).alias("ask")))
+    both = stored(both.groupBy("fp").agg(F.max("own").alias("own"), F.max("ask").alias("ask")))
+    keys = shard_keys(both, radius, shard_rows)
+    shards = max(1, -(-both.count() * (radius + 1) // shard_rows))
+
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.drop_duplicates("fp")
+        prints = shard["fp"].to_numpy().view(np.uint64)
+        members, queries = prints[shard["own"].to_numpy() == 1], prints[shard["ask"].to_numpy() == 1]
+        tree, found = BKTree(members), [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for start in range(0, len(queries), 4096):
+            hits = list(tree.within(part := queries[start : start + 4096], radius))
+            if not hits:
+                continue
+            q, at = (np.concatenate(x) for x in zip(*hits, strict=True))
+            apart = np.bitwise_count(part[q] ^ members[at])
+            order = np.lexsort((members[at], apart, q))
+            q, at = q[order], at[order]
+            heads = np.flatnonzero(np.diff(q, prepend=-1))
+            near = np.arange(len(q)) - np.repeat(heads, np.diff(np.append(heads, len(q)))) < most
+            found.append((part[q[near]], members[at[near]]))
+        give_back()
+        return pd.DataFrame({n: np.concatenate(x).view(np.int64) for n, x in zip(("asked", "fp"), zip(*found, strict=True), strict=True)})
+
+    sharded = keys.join(few(both), "fp").select("fp", "own", "ask", F.pmod(F.xxhash64("mask", "value"), F.lit(shards)).alias("shard"))
+    done = stored(sharded.repartition(min(shards, 8192), "shard").groupBy("shard").applyInPandas(run, "asked long, fp long").distinct())
+    discard(both)
+    return done
+
 
+def parity(hashes: np.ndarray) -> bytes:
+    """For a set of hashes, whether an odd number of them ends in each of as many bit patterns as the set is large, or more."""
+    bits = 1 << max(6, int(len(hashes)).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def _few(rows: DataFrame) -> DataFrame:
-    """Stored numbers of rows, broadcast where they are few, so that texts are not shuffled to meet them."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
+def may_be_similar(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n and m hashes can have the similarity by their parities a and b. Each hash that one of two sets lacks
+    changes one parity, so no fewer differ in hashes than in parities; similar sets differ in (n + m) (1 - least) / (1 + least)
+    hashes at most. The longer parity is folded to the length of the shorter one."""
+    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    apart = np.zeros(len(a), np.int64)
+    for key in np.unique(size_a << 32 | size_b).tolist():
+        own = np.flatnonzero((size_a == key >> 32) & (size_b == key & 0xFFFFFFFF))
+        sides = [np.frombuffer(b"".join(x[i] for i in own.tolist()), "<u8").reshape(len(own), -1) for x in (a, b)]
+        wide = min(x.shape[1] for x in sides)
+        while max(x.shape[1] for x in sides) > wide:
+            sides = [x if x.shape[1] == wide else x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] for x in sides]
+        apart[own] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
+    return apart <= (n + m) * (1 - least) / (1 + least) + 1e-9
 
-def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (row, first) of rows of texts whose Jaccard similarity is at least that; stored."""
-    pairs = stored(pairs)
-    own = pairs.select("row").union(pairs.select("first")).distinct()
-    sets = stored(_shingle_sets(texts.join(_few(stored(own)), "row", "left_semi"), size))
-    both = pairs.join(sets, "row").join(sets.select(F.col("row").alias("first"), F.col("shingles").alias("other")), "first")
+
+def _possible(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """The pairs (place, first) that may_be_similar() by marks (place, n, parity): a small fraction of the sets' bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            fit = may_be_similar(to_bytes(batch.column(4)), to_bytes(batch.column(5)), n, m, least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["place", "first"]).filter(pa.array(fit, pa.bool_()))
+
+    other = marks.select(F.col("place").alias("first"), F.col("n").alias("m"), F.col("parity").alias("other"))
+    both = pairs.join(marks, "place").join(other, "first").select("place", "first", "n", "m", "parity", "other")
+    return map_text(both, run, "place long, first long")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (place, first) of places in reps (place, row, n, parity) whose texts (row, text) have at least that Jaccard
+    similarity; stored."""
+    pairs = stored(_possible(pairs, reps.select("place", "n", "parity"), least))
+    own = stored(pairs.select("place").union(pairs.select("first")).distinct().join(few(reps.select("place", "row")), "place"))
+    sets = stored(_shingle_sets(texts.join(few(own), "row"), size))
+    both = pairs.join(sets, "place").join(sets.select(F.col("place").alias("first"), F.col("shingles").alias("other")), "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,83 +384,103 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
             for a, b in zip(to_bytes(batch.column(2)), to_bytes(batch.column(3)), strict=True):
                 shared = len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
                 alike.append(shared + 1e-9 >= least * ((len(a) + len(b)) // 8 - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["row", "first"]).filter(pa.array(alike, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["place", "first"]).filter(pa.array(alike, pa.bool_()))
 
-    done = stored(map_text(both.select("row", "first", "shingles", "other"), run, "row long, first long"))
-    discard(pairs, sets)
+    done = stored(map_text(both.select("place", "first", "shingles", "other"), run, "place long, first long"))
+    discard(pairs, own, sets)
     return done
 
 
-def _sized(least: float) -> Column:
-    """Whether the sizes of place and head allow the similarity."""
-    a, b = F.col("place.n"), F.col("head.n")
+def _sized(a: Column, b: Column, least: float) -> Column:
+    """Whether sets of a and b shingles can be that similar."""
     return F.least(a, b) + 1e-9 >= least * F.greatest(a, b)
 
 
-def _later(edges: DataFrame, places: DataFrame) -> DataFrame:
-    """edges (row, first: similar, of lesser place): the rows that go if each, in order of place, goes when similar to one that
-    stayed before it. Only numbers of rows meet in a component's task, never texts."""
-    roots = components(edges.select(F.col("row").alias("a"), F.col("first").alias("b")))
-    ranked = roots.join(places, F.col("node") == F.col("place.row"))
-    ranked = stored(ranked.select("node", "root", F.row_number().over(Window.partitionBy("root").orderBy("place")).alias("nth")))
-    dealt = edges.join(ranked.select(F.col("node").alias("row"), "root", "nth"), "row").join(ranked.select(F.col("node").alias("first"), F.col("nth").alias("to")), "first")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("nth")
-        gone: dict[int, int] = {}
-        for row, nth, to in zip(part["row"].tolist(), part["nth"].tolist(), part["to"].tolist(), strict=True):
-            if to not in gone:
-                gone[nth] = row
-        return pd.DataFrame({"row": np.array(list(gone.values()), dtype=np.int64)})
-
-    return stored(dealt.select("root", "row", "nth", "to").groupBy("root").applyInPandas(run, "row long"))
+def _later(edges: DataFrame) -> DataFrame:
+    """edges (place, first: similar, first before place; stored): the places that go if each, in order, goes when similar to one
+    that stayed before it. In a round, those that nothing left comes before stay and what is similar to them goes."""
+    gone = []
+    while not edges.isEmpty():
+        sure = stored(edges.select(F.col("first").alias("stays")).distinct().join(edges.select(F.col("place").alias("stays")).distinct(), "stays", "left_anti"))
+        out = stored(edges.join(few(sure).withColumnRenamed("stays", "first"), "first", "left_semi").select("place").distinct())
+        settled = few(stored(sure.select("stays").union(out.select("place"))))
+        rest = edges.join(settled.withColumnRenamed("stays", "first"), "first", "left_anti").join(settled.withColumnRenamed("stays", "place"), "place", "left_anti")
+        rest = stored(rest.select("place", "first"))
+        discard(edges, sure)
+        gone.append(out)
+        edges = rest
+    return reduce(DataFrame.union, gone)
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 64) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3, crowd: int = 64) -> DataFrame:
     """The rows of docs without near copies, all columns kept: in order of doc_id (nulls last), a row goes if its word shingles
     have at least the similarity with those of a row that stays. So no two such rows are left, and each row gone has one.
 
-    Equal sets of shingles count as one. Sets that are similar share a shingle of their prefixes, so all
-    similar pairs are found; simhash fingerprints are not asked. While a shingle has more than crowd rows, rows that nothing
-    comes before are compared with the others of their shingles, and what is similar goes: a large group takes work in
-    proportion. All pairs of a shingle's remaining rows are compared then. Empty texts are one group; an empty table gives no
-    rows."""
+    Equal sets of shingles count as one. Candidates come from the fingerprints first: rows near one that is sure to stay are
+    found in BK-trees, compared in full, and go. Similarity of 0.8 can differ in more bits than any radius bears, so what is
+    left is looked at exactly: sets that are similar share a shingle of their prefixes, and all pairs that do are compared.
+    A row is sure to stay if no earlier one shares such a shingle. While a shingle has more than crowd rows, they are compared
+    with its sure one only, and what is similar goes: a large group takes work in proportion. All pairs of a shingle's
+    remaining rows are compared then. Texts without words are one group; repeated rows are copies; an empty table gives no rows."""
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     texts = numbered.select(F.col("__row").alias("row"), "doc_id", "text")
-    found = stored(_prefixes(texts, shingle, similarity, _common(texts, shingle, numbered.count())))
-    placed = found.select("row", "n", "digest", F.col("doc_id").isNull().alias("last"), "doc_id")
-    placed = placed.select("digest", F.struct("last", "doc_id", "row", "n").alias("place"))
-    sets = stored(placed.groupBy("digest").agg(F.min("place").alias("place")).select("place"))
-    alone = sets.select(F.col("place.row").alias("row"))
-    gone = [found.select("row").join(alone, "row", "left_anti")]
-
-    posts = found.join(alone, "row", "left_semi").select("row", F.explode("prefix").alias("token"))
-    twice = posts.groupBy("token").count().where("count > 1").select("token")
-    live = stored(posts.join(twice, "token").join(sets.withColumn("row", F.col("place.row")), "row").select("token", "place"))
-    gone = [stored(gone[0])]
+    found = stored(_sketches(texts, shingle, similarity, _common(texts, shingle, numbered.count())))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    reps = stored(found.select("digest", order.alias("place")).groupBy("digest").agg(F.min("place").alias("place")).orderBy("place").select(F.col("place.row").alias("row"), F.monotonically_increasing_id().alias("place")))
+    reps = stored(found.select("row", "n", "fp", "parity").join(few(reps), "row"))
+    gone = [stored(found.select("row").join(few(reps.select("row")), "row", "left_anti"))]  # rows from here on, places until then
+    out: list[DataFrame] = []
+
+    posts = found.select("row", "prefix").join(few(reps.select("row", "place", "n")), "row").select("place", "n", F.explode("prefix").alias("token"))
+    sizes = reps.select(F.col("place").alias("head"), F.col("n").alias("m"))
+    shared = posts.groupBy("token").agg(F.min("place").alias("head"), F.count("*").alias("held")).where("held > 1")
+    live = stored(posts.join(shared, "token").select("token", "place", "n", "head", "held"))
     discard(found)
+
+    def settled(live: DataFrame, places: DataFrame) -> DataFrame:
+        """live without the places, and without shingles that one row is left of."""
+        left = live.join(few(stored(places.distinct())), "place", "left_anti").select("token", "place", "n")
+        again = left.groupBy("token").agg(F.min("place").alias("head"), F.count("*").alias("held")).where("held > 1")
+        rest = stored(left.join(again, "token").select("token", "place", "n", "head", "held"))
+        discard(live)
+        return rest
+
+    def ahead(live: DataFrame) -> DataFrame:
+        """The places that no earlier one shares a shingle with."""
+        return stored(live.groupBy("place").agg(F.min(F.col("place") == F.col("head")).alias("sure")).where("sure").select("place"))
+
+    sure = ahead(live)
+    marked = stored(live.select("place").distinct().join(few(reps.select("place", "fp")), "place"))
+    base = marked.join(few(sure), "place", "left_semi").groupBy("fp").agg(F.min("place").alias("first"))
+    asked = marked.join(few(sure), "place", "left_anti")
+    near = nearest_prints(base.select("fp"), asked.select("fp").distinct(), radius)
+    pairs = asked.withColumnRenamed("fp", "asked").join(near, "asked").join(base, "fp").where(F.col("place") > F.col("first")).select("place", "first")
+    judged = _similar(pairs, texts, reps, shingle, similarity)
+    out.append(judged.select("place").distinct())
+    live = settled(live, out[-1])
+    discard(sure, marked, near)
+
     before, idle = None, 0
     while True:
-        heads = stored(live.groupBy("token").agg(F.min("place").alias("head"), F.count("*").alias("n")))
-        crowded = heads.where(F.col("n") > crowd).agg(F.sum("n")).first()[0] or 0
+        crowded = live.where((F.col("place") == F.col("head")) & (F.col("held") > crowd)).agg(F.sum("held")).first()[0] or 0
         idle = idle + 1 if before is not None and crowded > 0.75 * before else 0
         if not crowded or idle > 3:  # where comparing with heads does not help, all pairs are compared
             break
         before = min(crowded, before or crowded)
-        seen = live.join(heads.select("token", "head"), "token")
-        ahead = stored(seen.groupBy("place.row").agg(F.min(F.col("place.row") == F.col("head.row")).alias("sure")).where("sure").select("row"))
-        pairs = seen.where((F.col("place.row") != F.col("head.row")) & _sized(similarity)).select(F.col("place.row").alias("row"), F.col("head.row").alias("first")).distinct()
-        judged = _similar(pairs.join(ahead.withColumnRenamed("row", "first"), "first", "left_semi").select("row", "first"), texts, shingle, similarity)
-        gone.append(judged.select("row").distinct())
-        settled = ahead.union(gone[-1])
-        rest = stored(live.withColumn("row", F.col("place.row")).join(settled, "row", "left_anti").select("token", "place"))
-        discard(live, heads)
-        live = rest
-    twos = live.join(heads.where("n > 1").select("token"), "token").select("token", "place")
-    pairs = twos.join(twos.select("token", F.col("place").alias("head")), "token").where((F.col("place") > F.col("head")) & _sized(similarity))
-    edges = _similar(pairs.select(F.col("place.row").alias("row"), F.col("head.row").alias("first")).distinct(), texts, shingle, similarity)
+        sure = ahead(live)
+        pairs = live.join(few(sure.withColumnRenamed("place", "head")), "head", "left_semi").where(F.col("place") != F.col("head")).select("place", "n", "head").distinct()
+        pairs = pairs.join(few(sizes), "head").where(_sized(F.col("n"), F.col("m"), similarity)).select("place", F.col("head").alias("first"))
+        judged = _similar(pairs, texts, reps, shingle, similarity)
+        out.append(judged.select("place").distinct())
+        live = settled(live, sure.union(out[-1]))
+        discard(sure)
+    other = live.select("token", F.col("place").alias("first"), F.col("n").alias("m"))
+    pairs = live.join(other, "token").where((F.col("place") > F.col("first")) & _sized(F.col("n"), F.col("m"), similarity))
+    edges = _similar(pairs.select("place", "first").distinct(), texts, reps, shingle, similarity)
     if not edges.isEmpty():
-        gone.append(_later(edges, sets))
-    out = stored(reduce(DataFrame.union, gone).withColumnRenamed("row", "__row"))
-    discard(live, heads, sets)
-    return numbered.join(_few(out), "__row", "left_anti").select(*docs.columns)
+        out.append(_later(edges))
+    places = stored(reduce(DataFrame.union, out).distinct())
+    rows = places.join(few(reps.select("place", "row")), "place").select("row")
+    done = stored(reduce(DataFrame.union, [*gone, rows]).withColumnRenamed("row", "__row"))
+    discard(live, reps, *gone)
+    return numbered.join(few(done), "__row", "left_anti").select(*(quoted(c) for c in docs.columns))
