@@ -29,7 +29,7 @@ class AnnParams:
     vectors, in hash order, that the cells' borders are fitted on (every vector is indexed). leaf: points of a kd-tree leaf."""
 
     k: int = 5
-    dims: int = 8
+    dims: int = 16
     confidence: float = 0.97
     cell_rows: int = 8192
     sample_rows: int = 20_000
@@ -113,28 +113,58 @@ class Cell:
     """The vectors of a cell behind a kd-tree over their projections."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projection: Projection, params: AnnParams) -> None:
-        self.tree = KDTree(projection(vectors), params.leaf)
-        self.ids, self.vectors = ids[self.tree.order], vectors[self.tree.order]
+        points = projection(vectors)
+        self.tree = KDTree(points, params.leaf)
+        self.ids, self.vectors, self.points = ids[self.tree.order], vectors[self.tree.order], points[self.tree.order]
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         self.k, self.bound = params.k + 1, chi_square_bound(params.dims, params.confidence)
 
-    def search(self, query: np.ndarray, projected: np.ndarray, farthest: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k + 1 nearest found, best first (one may be the query itself). farthest: squared distance known to be enough.
-        Leaves come in order of projected distance, one, two, four ... at a time, with the test before each portion."""
-        order = np.argsort(distances := self.tree.distances(projected), kind="stable")
-        norm = np.sqrt((query * query).sum())
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+    def search(self, queries: np.ndarray, projected: np.ndarray, farthest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row of queries, id and score of the k + 1 nearest found of each, best first (one may be the query itself), and how
+        many vectors were verified for each query. farthest: squared distances known to be enough. Leaves come in order
+        of projected distance, one, two, four ... at a time; the test is made before each portion and on each point of it."""
+        farthest, verified = np.maximum(farthest, 1e-9), np.zeros(len(queries), np.int64)
+        norms = np.sqrt((queries * queries).sum(axis=1))
+        apart = np.stack([self.tree.distances(p) for p in projected]) if len(projected) else np.zeros((0, 1))
+        order = np.argsort(apart, axis=1, kind="stable")
+        apart = np.take_along_axis(apart, order, axis=1)
+        sizes = np.diff(self.tree.starts)
+        row, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, 1
-        while at < len(order) and distances[order[at]] <= self.bound * max(farthest, 1e-9):
-            rows = np.concatenate([np.arange(self.tree.starts[i], self.tree.starts[i + 1]) for i in order[at : at + step]])
-            found = (self.vectors[rows] * query).sum(axis=1) / (self.norms[rows] * norm)
-            ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, found])
-            best = np.lexsort((ids, -scores))[: self.k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == self.k:
-                farthest = min(farthest, 2 - 2 * float(scores[-1]))
+        while at < order.shape[1]:
+            asked, nth = np.nonzero(apart[:, at : at + step] <= self.bound * farthest[:, None])
+            if not len(asked):
+                break
+            leaf = order[asked, at + nth]
+            more = [(row, ids, scores)]
+            for lo, hi in _portions(sizes[leaf]):
+                n = sizes[leaf[lo:hi]]
+                who = np.repeat(asked[lo:hi], n)
+                point = np.arange(n.sum()) + np.repeat(self.tree.starts[leaf[lo:hi]] - np.cumsum(n) + n, n)
+                off = projected[who] - self.points[point]
+                near = np.einsum("ij,ij->i", off, off) <= self.bound * farthest[who]
+                who, point = who[near], point[near]
+                verified += np.bincount(who, minlength=len(queries))
+                more.append((who, self.ids[point], (self.vectors[point] * queries[who]).sum(axis=1) / (self.norms[point] * norms[who])))
+            row, ids, scores = (np.concatenate(x) for x in zip(*more, strict=True))
+            best = np.lexsort((ids, -scores, row))
+            row, ids, scores = row[best], ids[best], scores[best]
+            heads = np.flatnonzero(np.diff(row, prepend=-1))
+            nth = np.arange(len(row)) - np.repeat(heads, np.diff(np.append(heads, len(row))))
+            last = np.flatnonzero(nth == self.k - 1)
+            farthest[row[last]] = np.maximum(np.minimum(farthest[row[last]], 2 - 2 * scores[last]), 1e-9)
+            row, ids, scores = row[nth < self.k], ids[nth < self.k], scores[nth < self.k]
             at, step = at + step, step * 2
-        return ids, scores
+        return row, ids, scores, verified
+
+
+def _portions(sizes: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Runs of leaves of about that many points."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -143,8 +173,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _search_cells(rows: DataFrame, size: int, params: AnnParams) -> DataFrame:
-    """rows: cell, asked (0: to be searched, 1: a query), id, vector, farthest. Gives query, id, score. Sorted by cell, a task
-    holds one cell's vectors at a time, and the queries of the cell stream past them."""
+    """rows: cell, asked (0: to be searched, 1: a query), id, vector, farthest. Gives query, id, score, and verified: the vectors
+    verified for the query in this cell, on one of its rows. Sorted by cell, a task holds one cell's vectors at a time, and the
+    queries of the cell stream past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection, now, held, cell = Projection(size, params), None, [], None
@@ -152,7 +183,7 @@ def _search_cells(rows: DataFrame, size: int, params: AnnParams) -> DataFrame:
             cells, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             ids, vectors, farthest = batch.column(2).to_numpy(), _matrix(batch.column(3)), batch.column(4).to_numpy()
             edges = np.flatnonzero((np.diff(cells) != 0) | (np.diff(asked) != 0)) + 1
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, ...]] = []
             for start, end in zip([0, *edges], [*edges, len(cells)], strict=True):
                 if cells[start] != now:
                     now, held, cell = cells[start], [], None
@@ -161,14 +192,16 @@ def _search_cells(rows: DataFrame, size: int, params: AnnParams) -> DataFrame:
                     continue
                 if cell is None and held:
                     cell = Cell(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), projection, params)
-                for r in range(start, end) if cell else ():
-                    found, scores = cell.search(vectors[r], projection(vectors[r : r + 1])[0], farthest[r])
-                    out.append((np.full(len(found), ids[r]), found, scores))
+                for lo in range(start, end, 256) if cell else ():
+                    part = slice(lo, min(lo + 256, end))
+                    row, found, scores, verified = cell.search(vectors[part], projection(vectors[part]), farthest[part])
+                    first = np.diff(row, prepend=-1) != 0
+                    out.append((ids[part][row], found, scores, np.where(first, verified[row], 0)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query", "id", "score", "verified"])
 
     dealt = rows.repartition("cell").sortWithinPartitions("cell", "asked").select("cell", "asked", "id", "vector", "farthest")
-    return dealt.mapInArrow(run, "query long, id long, score double")
+    return dealt.mapInArrow(run, "query long, id long, score double, verified long")
 
 
 def _routed(queries: DataFrame, top: KDTree, size: int, params: AnnParams, home: bool) -> DataFrame:
@@ -194,7 +227,7 @@ def _routed(queries: DataFrame, top: KDTree, size: int, params: AnnParams, home:
 
 
 def _one_size(base: DataFrame, queries: DataFrame, size: int, params: AnnParams) -> DataFrame:
-    """base: id, vector, at most k + 1 of each vector; queries: id, vector. Gives query, id, score: k + 1 of each query."""
+    """base: id, vector, at most k + 1 of each vector; queries: id, vector. Gives query, id, score, verified: k + 1 of each query."""
     total = base.count()
     sample = sampled(base, F.col("id"), params.sample_rows, total).orderBy(F.xxhash64("id"), "id").limit(params.sample_rows).select("vector").toArrow()
     points = Projection(size, params)(_matrix(sample.column("vector").combine_chunks()))
@@ -209,13 +242,15 @@ def _one_size(base: DataFrame, queries: DataFrame, size: int, params: AnnParams)
     second = asked.drop("farthest").join(seen.withColumnRenamed("query", "id"), "id", "left")
     second = _routed(second.select("id", "vector", F.coalesce(known, F.lit(4.0)).alias("farthest")), top, size, params, home=False)
     both = first.unionByName(_search_cells(placed.unionByName(second.withColumn("asked", F.lit(1))), size, params))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return both.withColumn("n", F.row_number().over(best)).where(F.col("n") <= params.k + 1).drop("n")
+    own = Window.partitionBy("query")
+    ranked = both.withColumns({"n": F.row_number().over(own.orderBy(F.desc("score"), "id")), "verified": F.sum("verified").over(own)})
+    return ranked.where(F.col("n") <= params.k + 1).drop("n")
 
 
 def nearest(vectors: DataFrame, every: int = 50, params: AnnParams = AnnParams()) -> DataFrame:
     """vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by every, candidates all but the query's own.
-    Gives query_id, rank, vec_id, score: the k nearest found, nearest first, ties to the smaller vec_id.
+    Gives query_id, rank, vec_id, score: the k nearest found, nearest first, ties to the smaller vec_id; then verified: how many
+    vectors were compared with the query in full.
 
     Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part, and vectors of other
     lengths aren't compared. Each distinct vector is asked once, and only its k + 1 smallest ids are indexed: equal vectors
@@ -231,8 +266,8 @@ def nearest(vectors: DataFrame, every: int = 50, params: AnnParams = AnnParams()
         one = _one_size(base.where(fits), asked.where(fits), size, params)
         found = one if found is None else found.unionByName(one)
     if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
     of = queries.join(asked.withColumnRenamed("id", "query"), "vector").select(F.col("id").alias("query_id"), "query")
     others = of.join(found, "query").where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return others.withColumn("rank", rank).where(F.col("rank") <= params.k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    return others.withColumn("rank", rank).where(F.col("rank") <= params.k).select("query_id", "rank", F.col("id").alias("vec_id"), "score", "verified")

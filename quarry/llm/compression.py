@@ -9,25 +9,31 @@ import zstandard
 
 
 class SizeModel:
-    """Sizes of texts when compressed against each of several dictionaries. Pickles as the dictionaries alone."""
+    """Sizes of texts when compressed against each of several dictionaries, in pieces of that many bytes (0: whole). Pickles as
+    the dictionaries alone."""
 
-    def __init__(self, dictionaries: list[bytes], level: int) -> None:
-        self.dictionaries, self.level = dictionaries, level
+    def __init__(self, dictionaries: list[bytes], level: int, piece: int = 0) -> None:
+        self.dictionaries, self.level, self.piece = dictionaries, level, piece
         self._compressors: list[zstandard.ZstdCompressor] | None = None
 
-    def __getstate__(self) -> tuple[list[bytes], int]:
-        return self.dictionaries, self.level
+    def __getstate__(self) -> tuple[list[bytes], int, int]:
+        return self.dictionaries, self.level, self.piece
 
-    def __setstate__(self, state: tuple[list[bytes], int]) -> None:
+    def __setstate__(self, state: tuple[list[bytes], int, int]) -> None:
         self.__init__(*state)
 
     def sizes(self, texts: Iterable[bytes]) -> np.ndarray:
         """One row per text, one column per dictionary."""
         if self._compressors is None:
             self._compressors = [self._compressor(raw) for raw in self.dictionaries]
-        rows = [[len(c.compress(text)) for c in self._compressors] for text in texts]
+        rows = [[sum(len(c.compress(p)) for p in self._pieces(text)) for c in self._compressors] for text in texts]
         return np.array(rows, dtype=np.int64).reshape(-1, len(self.dictionaries))
 
+    def _pieces(self, text: bytes) -> list[bytes]:
+        if not self.piece or len(text) <= self.piece:
+            return [text]
+        return [text[i : i + self.piece] for i in range(0, len(text), self.piece)]
+
     def _compressor(self, raw: bytes) -> zstandard.ZstdCompressor:
         plain = {"level": self.level, "write_checksum": False, "write_content_size": False}
         if len(raw) < 8:

@@ -1,5 +1,7 @@
 """Embedding near-dedup: a hierarchical navigable small-world graph per shard of a label; every shard of the label is queried,
-beams widen until audits against all of the shard pass, cosines are verified in double precision, and links make components."""
+beams widen until audits against all of the shard pass, cosines are verified in double precision, and links make components.
+
+Links leave a task as counts and a spanning forest, a row per vector, so a dense group of n vectors gives n rows, not n * n."""
 
 from __future__ import annotations
 
@@ -12,22 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.ann import usable
-from quarry.llm.common import stored
-from quarry.llm.components import components
+from quarry.llm.common import discard, few, stored
+from quarry.llm.components import components, local_roots
 
 
 @dataclass(frozen=True)
 class HnswParams:
     """cosine: least of a link. shard_rows: distinct vectors of a shard. degree: edges of a node (twice as many on the lowest
-    layer). build_beam, beam: of insertion and the first search. audit: queries per shard that are checked against all its
-    vectors; recall: the share of their links that must be found, else the beam doubles."""
+    layer). build_beam, beam: of insertion and the first search. audit: queries compared with all of a shard at a time, until
+    they have audit_links links or none is left; recall: the share of those that the search must have found, else the beam
+    doubles."""
 
     cosine: float = 0.93
-    shard_rows: int = 8192
+    shard_rows: int = 4096
     degree: int = 12
     build_beam: int = 48
     beam: int = 48
-    audit: int = 512
+    audit: int = 256
+    audit_links: int = 128
     recall: float = 0.995
     seed: int = 11
 
@@ -146,26 +150,23 @@ class Graph:
             fresh = np.unique(row[new] * n + nodes[new])
         return ids, sims
 
-    def within(self, queries: np.ndarray, least: float, beam: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of similarities over least; own: nodes to start from besides the upper layers' best. A query whose whole
-        beam is that near is asked again with a beam twice as wide."""
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    def within(self, queries: np.ndarray, least: float, beam: int, own: np.ndarray | None) -> np.ndarray:
+        """hits[query, node]: similarities of least or more that are found. own: nodes to start from besides the upper layers'
+        best. A query whose whole beam is that near stands in a dense group and is compared with all nodes."""
+        hits = np.zeros((len(queries), self.sizes[0]), dtype=bool)
         for lo in range(0, len(queries), 512):
-            todo = np.arange(lo, min(lo + 512, len(queries)))
-            width = beam
-            while len(todo):
-                part = queries[todo]
-                entry = np.zeros((len(todo), 1), np.int32)
-                for level in range(len(self.sizes) - 1, 0, -1):
-                    entry = self.search_layer(part, entry, level, 4)[0][:, :1]
-                if own is not None:
-                    entry = np.concatenate([entry, own[todo, None]], axis=1)
-                ids, sims = self.search_layer(part, entry, 0, width)
-                full = (sims[:, -1] >= least) & (width < self.sizes[0])
-                row, slot = np.nonzero((sims >= least) & ~full[:, None])
-                pairs.append((todo[row], ids[row, slot]))
-                todo, width = todo[full], width * 2
-        return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+            part = queries[lo : lo + 512]
+            entry = np.zeros((len(part), 1), np.int32)
+            for level in range(len(self.sizes) - 1, 0, -1):
+                entry = self.search_layer(part, entry, level, 4)[0][:, :1]
+            if own is not None:
+                entry = np.concatenate([entry, own[lo : lo + 512, None]], axis=1)
+            ids, sims = self.search_layer(part, entry, 0, beam)
+            row, slot = np.nonzero(sims >= least)
+            hits[lo + row, ids[row, slot]] = True
+            if len(full := np.flatnonzero(sims[:, -1] >= least)):
+                hits[lo + full] = part[full] @ self.units.T >= least
+        return hits
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -174,77 +175,108 @@ def _pack(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _unpack(blob: bytes, params: HnswParams) -> tuple[np.ndarray, np.ndarray, Graph]:
+def _points(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and times of a shard."""
+    held = np.load(io.BytesIO(blob))
+    return held["ids"], held["vectors"].astype(np.float64), held["times"]
+
+
+def _graph(blob: bytes, vectors: np.ndarray, params: HnswParams) -> Graph:
     held = np.load(io.BytesIO(blob))
     graph = Graph.__new__(Graph)
-    graph.units, graph.params = _unit(held["vectors"]), params
-    graph.edges = [held[f"edges{level}"] for level in range(int(held["layers"]))]
+    graph.units, graph.params = _unit(vectors), params
+    graph.edges = [held[f"edges{level}"] for level in range(len(held.files))]
     graph.sizes = [len(e) for e in graph.edges]
-    return held["ids"], held["vectors"], graph
-
-
-def linked(ids: np.ndarray, vectors: np.ndarray, graph: Graph, others: np.ndarray, queries: np.ndarray, params: HnswParams) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs between the vectors of a graph and queries (ids others), smaller id first. Audited: the beam doubles until
-    enough of the links of evenly spread queries are found; as wide as the graph, the queries are compared with all of it."""
-    same = ids is others
-    units = _unit(queries)
-    near = params.cosine - 1e-4  # float32 candidates, verified below
-    sample = np.unique(np.linspace(0, len(units) - 1, min(params.audit, len(units))).astype(int))
-    true = {(int(sample[q]), int(a)) for q, a in zip(*np.nonzero(units[sample] @ graph.units.T >= near), strict=True)}
-    beam = params.beam
+    return graph
+
+
+def linked(vectors: np.ndarray, graph: Graph, queries: np.ndarray | None, params: HnswParams) -> np.ndarray:
+    """hits[query, node]: links between queries (None: the graph's own vectors) and the vectors of a graph, verified in double
+    precision; never of a node with itself.
+
+    Audited: queries in random order are compared with all nodes until they have audit_links links, or all are compared. Unless
+    the search has found enough of those, the beam doubles. What the audit saw counts as found."""
+    same = queries is None
+    queries = vectors if same else queries
+    units, near = _unit(queries), params.cosine - 1e-4  # float32 candidates
+    spread, truth, seen = np.random.default_rng(params.seed).permutation(len(units)), [], 0
+    while len(truth) * params.audit < len(units) and seen < params.audit_links:
+        block = spread[len(truth) * params.audit : (len(truth) + 1) * params.audit]
+        truth.append(units[block] @ graph.units.T >= near)
+        seen += int(truth[-1].sum()) - same * len(block)
+    spot = spread[: len(truth) * params.audit]
+    true, beam = np.concatenate(truth), params.beam
     while True:
-        if beam >= len(ids):
-            q, a = (np.concatenate(x) for x in zip(*_all_pairs(units, graph.units, near), strict=True))
-            break
-        q, a = graph.within(units, near, beam, np.arange(len(ids), dtype=np.int32) if same else None)
-        spot = np.isin(q, sample)
-        if len(true & set(zip(q[spot].tolist(), a[spot].tolist(), strict=True))) >= params.recall * len(true):
+        hits = graph.within(units, near, beam, np.arange(len(vectors), dtype=np.int32) if same else None)
+        if len(spot) == len(units) or beam >= len(vectors) or (hits[spot] & true).sum() >= params.recall * true.sum():
             break
         beam *= 2
-    x, y = queries[q], vectors[a]
-    cosine = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-    sure = (cosine >= params.cosine) & (others[q] != ids[a])
-    left, right = others[q][sure], ids[a][sure]
-    pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _all_pairs(units: np.ndarray, against: np.ndarray, near: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = [(np.zeros(0, int), np.zeros(0, int))]
-    for lo in range(0, len(units), 512):
-        q, a = np.nonzero(units[lo : lo + 512] @ against.T >= near)
-        out.append((q + lo, a))
-    return out
+    hits[spot] |= true
+    if same:
+        np.fill_diagonal(hits, False)
+        hits |= hits.T
+    for lo in range(0, len(units), 256):
+        q, a = np.nonzero(hits[lo : lo + 256])
+        for at in range(0, len(q), 1 << 16):
+            row, node = q[at : at + (1 << 16)] + lo, a[at : at + (1 << 16)]
+            open_ = np.einsum("ij,ij->i", units[row], graph.units[node]) < params.cosine + 1e-4
+            row, node = row[open_], node[open_]
+            x, y = queries[row], vectors[node]
+            cosine = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+            hits[row, node] = cosine >= params.cosine
+    return hits
+
+
+def summed(hits: np.ndarray, ids: np.ndarray, times: np.ndarray, others: np.ndarray | None, other_times: np.ndarray | None) -> pd.DataFrame:
+    """cid, more, root for each vector with a link: the rows it is linked to, and the first vector that links reach from it.
+    others: ids of the queries, if they aren't the ids themselves."""
+    n = len(ids)
+    names, weight, shift = (ids, times, 0) if others is None else (np.concatenate([ids, others]), np.concatenate([times, other_times]), n)
+    more, root = np.zeros(len(names), np.int64), np.arange(len(names))
+    for lo in range(0, len(hits), 256):
+        block = hits[lo : lo + 256]
+        rows = slice(shift + lo, shift + lo + len(block))
+        more[rows] += np.rint(block @ times.astype(np.float64)).astype(np.int64)
+        if others is not None:
+            more[:n] += np.rint(weight[rows].astype(np.float64) @ block).astype(np.int64)
+        q, a = np.nonzero(block)
+        root = local_roots(len(names), q + shift + lo, a, root)
+    own = np.flatnonzero(more)
+    return pd.DataFrame({"cid": names[own], "more": more[own], "root": names[root[own]]})
 
 
 def links(classes: DataFrame, params: HnswParams) -> DataFrame:
-    """classes: label, size, cid, vector. Gives a, b: pairs of cid (a < b) of equal label and size and near cosine."""
+    """classes: label, size, cid, vector, times. Gives cid, more, root, from every pair of shards of a label and size: rows
+    that the vector is linked to there, and one that links reach from it."""
     counts = classes.groupBy("label", "size").agg(F.ceil(F.count("*") / params.shard_rows).alias("shards"))
-    dealt = classes.join(counts, ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")))
+    dealt = classes.join(F.broadcast(counts), ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")))  # a row per label
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cid")
         vectors = np.stack(rows["vector"].to_list()).astype(np.float64)
         graph = Graph(_unit(vectors), params)
-        edges = {f"edges{level}": e for level, e in enumerate(graph.edges)}
-        blob = _pack(ids=rows["cid"].to_numpy(), vectors=vectors, layers=np.array(len(graph.edges)), **edges)
-        return pd.DataFrame({"label": rows["label"].iloc[:1], "size": rows["size"].iloc[:1], "shard": rows["shard"].iloc[:1], "graph": [blob]})
+        single = vectors.astype(np.float32)
+        points = _pack(ids=rows["cid"].to_numpy(), vectors=single if (single == vectors).all() else vectors, times=rows["times"].to_numpy())
+        edges = _pack(**{f"edges{level}": e for level, e in enumerate(graph.edges)})
+        return pd.DataFrame({"label": rows["label"].iloc[:1], "size": rows["size"].iloc[:1], "shard": rows["shard"].iloc[:1], "points": [points], "edges": [edges]})
 
     kind = classes.schema["label"].dataType.simpleString()
-    graphs = stored(dealt.groupBy("label", "size", "shard").applyInPandas(build, f"label {kind}, size int, shard long, graph binary"))
+    graphs = stored(dealt.groupBy("label", "size", "shard").applyInPandas(build, f"label {kind}, size int, shard long, points binary, edges binary"))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for graph_blob, query_blob in zip(rows["graph"], rows["queries"], strict=True):
-            ids, vectors, graph = _unpack(graph_blob, params)
-            others, queries = (ids, vectors) if query_blob is None else _unpack(query_blob, params)[:2]
-            found.append(linked(ids, vectors, graph, others, queries, params))
-        return pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
-
-    right = graphs.select("label", "size", F.col("shard").alias("other"), F.col("graph").alias("queries"))
+        found = []
+        for points, edges, queries in zip(rows["points"], rows["edges"], rows["queries"], strict=True):
+            ids, vectors, times = _points(points)
+            others, asked, other_times = _points(queries) if queries is not None else (None, None, None)
+            found.append(summed(linked(vectors, _graph(edges, vectors, params), asked, params), ids, times, others, other_times))
+        return pd.concat(found)
+
+    right = graphs.select("label", "size", F.col("shard").alias("other"), F.col("points").alias("queries"))
     pairs = graphs.join(right.where("other > 0"), ["label", "size"]).where(F.col("shard") < F.col("other"))
     own = graphs.withColumn("other", F.col("shard")).withColumn("queries", F.lit(None).cast("binary"))
-    return own.unionByName(pairs).groupBy("label", "size", "shard", "other").applyInPandas(search, "a long, b long")
+    done = stored(own.unionByName(pairs).groupBy("label", "size", "shard", "other").applyInPandas(search, "cid long, more long, root long"))
+    discard(graphs)
+    return done
 
 
 def near_duplicates(vectors: DataFrame, params: HnswParams = HnswParams()) -> DataFrame:
@@ -256,16 +288,15 @@ def near_duplicates(vectors: DataFrame, params: HnswParams = HnswParams()) -> Da
     rows = vectors.select("vec_id", "label", F.col("embedding").alias("vector"), fit.alias("fit"))
     classes = rows.where("fit").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
     classes = stored(classes.withColumn("size", F.size("vector")).withColumn("cid", F.monotonically_increasing_id()))
-    pairs = stored(links(classes.select("label", "size", "cid", "vector"), params).distinct())
-    times = classes.select("cid", "times")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(times, F.col("b") == F.col("cid")).groupBy("a").agg(F.sum("times").alias("more")).withColumnRenamed("a", "cid")
-    roots = components(pairs).withColumnRenamed("node", "cid")
-    named = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    facts = named.join(first, "root").join(degree, "cid", "left").select(
-        "label", "vector", "component_id", (F.col("times") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")
-    )
+    found = links(classes.select("label", "size", "cid", "vector", "times"), params)
+    degree = found.groupBy("cid").agg(F.sum("more").alias("more"))
+    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cid")
+    named = classes.select("cid", "least", "times").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = stored(named.join(degree, "cid", "left").select("cid", "least", "root", (F.col("times") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))
+    first = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    facts = stored(named.join(few(first), "root").select("cid", "n_links", "component_id"))
+    discard(found, named, first)
+    facts = classes.select("label", "vector", "cid").join(few(facts), "cid").drop("cid")
     inside = rows.where("fit").join(facts, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     outside = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return inside.unionByName(outside).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, map_text, sampled, slices
+from quarry.llm.common import fold, map_text, slices
 from quarry.llm.compression import SizeModel, gather
 
 UNDETERMINED = "und"
@@ -23,7 +23,7 @@ _LETTER = regex.compile(r"\p{L}")
 class LanguageParams:
     """dictionary_bytes: room of each language's dictionary, filled with whole texts in hash order from at most sample_rows
     documents of 32 to sample_chars characters; where those leave half of the room or more, with others too, long ones cut to
-    sample_chars. languages: over so many, all are learned still, and their dictionaries share the room of so many. margin: a best language whose
+    sample_chars. languages: over so many, all are learned still, and share the rows and the room of so many. margin: a best language whose
     lead over the next, as a share of the next one's size, is less counts as rejected; keep_rejected: still name it."""
 
     dictionary_bytes: int = 128 << 10
@@ -73,34 +73,47 @@ def _filled(texts: dict[bytes, None], room: int) -> bytes:
     return b"\n".join(texts)[:room].decode(errors="ignore").encode()
 
 
+def _sample(known: DataFrame, wanted: dict[str, int], rows: int, chars: int, usual: bool) -> dict[str, dict[bytes, None]]:
+    """Normalised texts of each wanted language (with its number of documents) in hash order, at most rows of each, in one pass
+    over known: a filter by hash leaves about four times as many before they are ordered."""
+    parts = 1 << 30
+    spark = known.sparkSession
+    most = [(name, float(parts if n <= 4 * rows else max(1, 4 * rows * parts // n))) for name, n in wanted.items()]
+    limits = F.broadcast(spark.createDataFrame(most, "lang string, most double"))  # a row per language
+    between = F.length("text").between(32, chars)
+    own = known.where(between if usual else F.col("text").rlike(r"\p{L}") & ~between).join(limits, "lang")
+    own = own.where(F.pmod(F.xxhash64("text", F.lit(29)), F.lit(parts)) < F.col("most")) if usual else own
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id"))
+    taken = own.select("lang", F.substring("text", 1, chars).alias("text"), nth.alias("nth")).where(F.col("nth") <= rows)
+    out: dict[str, dict[bytes, None]] = {name: {} for name in wanted}
+    for r in taken.orderBy("nth").collect():
+        out[r["lang"]][normalise(r["text"])] = None
+    return out
+
+
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Learns from text and non-null lang outside the held-out fold (a null id is not held out); counts cover all rows, the
-    dictionaries a bounded sample in hash order of the texts."""
+    dictionaries a bounded sample in hash order of the texts. A language whose texts have no letter has an empty dictionary and
+    wins only where no other is better."""
     known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED) & (fold(F.col("doc_id"), params.folds) != params.held_out))
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
-    room = min(params.dictionary_bytes, max(1, params.dictionary_bytes * params.languages // max(1, len(counts))))
-    dictionaries = []
-    for row in counts:
-        own = known.where(F.col("lang") == row["lang"])
-        usual = F.length("text").between(32, params.sample_chars)
-        sample = (
-            sampled(own, F.col("text"), params.sample_rows, row["n"]).where(usual)
-            .select("text", F.xxhash64("text").alias("h"), "doc_id").orderBy("h", "doc_id").limit(params.sample_rows)
-        )
-        texts = dict.fromkeys(normalise(r["text"]) for r in sample.collect())
-        raw = gather(texts, room)[0]
-        if len(raw) < room // 2:
-            more = own.where(F.col("text").rlike(r"\p{L}") & ~usual).select(F.substring("text", 1, params.sample_chars).alias("text"), F.xxhash64("text").alias("h"), "doc_id")
-            texts |= dict.fromkeys(normalise(r["text"]) for r in more.orderBy("h", "doc_id").limit(params.sample_rows).collect())
-            raw = _filled(texts, room)
-        dictionaries.append(raw)
-    total = sum(r["n"] for r in counts)
-    return LanguageModel([r["lang"] for r in counts], SizeModel(dictionaries, params.level), np.array([r["n"] / total for r in counts]))
+    share = min(1.0, params.languages / max(1, len(counts)))  # over so many languages, rows and room of each shrink, and their sums stay
+    room, rows = max(1, int(params.dictionary_bytes * share)), max(4, int(params.sample_rows * share))
+    sizes = {r["lang"]: r["n"] for r in counts}
+    texts = _sample(known, sizes, rows, params.sample_chars, True) if sizes else {}
+    raw = {name: gather(own, room)[0] for name, own in texts.items()}
+    if thin := {name: sizes[name] for name in raw if len(raw[name]) < room // 2}:
+        for name, more in _sample(known, thin, rows, params.sample_chars, False).items():
+            raw[name] = _filled(texts[name] | more, room)
+    total = sum(sizes.values())
+    return LanguageModel(list(sizes), SizeModel([raw[n] for n in sizes], params.level), np.array([n / total for n in sizes.values()]))
 
 
 def identify(docs: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, margin, rejected (the lead is narrow). Null texts and texts
-    without a letter are "und", score 0, rejected; with keep_rejected off, so are all rejected ones. Repeated rows each get a
+    without a letter are "und", score 0, rejected. With keep_rejected, as the query has it, a narrow lead is only marked in
+    rejected and the best language still named (the query's contract keeps "und" for texts without a letter); with it off, all
+    rejected texts are "und". Repeated rows each get a
     row; an empty table gives none; without any labelled text all are "und"."""
     narrow = docs.select("doc_id", "text", "lang")
     model = fit(narrow, params)

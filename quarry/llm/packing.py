@@ -3,6 +3,7 @@ partition's running totals; prefix sums over the partition totals give every doc
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,7 +22,7 @@ from quarry.llm.common import map_text, slices, stored, to_bytes
 
 @dataclass(frozen=True)
 class PackingParams:
-    """tokenizer: path of a tokenizers file, the same on every executor. end_id: follows each document's ids."""
+    """tokenizer: path of a tokenizers file of any model, the same on every executor. end_id: follows each document's ids."""
 
     tokenizer: str
     window: int = 2048
@@ -51,17 +52,22 @@ class Growing:
         self.count = end
 
 
+def _loaded(path: str) -> object:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class ChunkTokenizer:
     """Ids of texts under a byte-pair tokenizer with word ends that lowers case and drops white space: no id spans ASCII white
     space, so each distinct chunk between white space is encoded once and texts are put together from chunks in numpy. New
     chunks are encoded joined: simple ones by spaces, as the ids that end words tell them apart, others by a special token.
     The table starts anew when it outgrows its room."""
 
-    def __init__(self, path: str, room_bytes: int = 128 << 20) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.room = Tokenizer.from_file(path), room_bytes
+    def __init__(self, tokenizer: object, room_bytes: int = 128 << 20) -> None:
+        """tokenizer: one of the tokenizers library, or a file's path."""
+        self.tokenizer, self.room = _loaded(tokenizer) if isinstance(tokenizer, str) else tokenizer, room_bytes
         self.mark = self.tokenizer.token_to_id(_MARK)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -116,10 +122,37 @@ class ChunkTokenizer:
         return ids, np.diff(bounds)
 
 
+class WholeTokenizer:
+    """Ids of texts under any tokenizer, each text encoded as it stands."""
+
+    def __init__(self, tokenizer: object) -> None:
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [f.ids for f in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        counts = np.array([len(f) for f in found], dtype=np.int64)
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(counts.sum())), counts
+
+
+#: Texts that tell whether chunks between white space can be encoded by themselves.
+_PROBES = ("Ab cd, ef.\n\tGH ij's  12 3.5 x_y", "über Straße  naïve\u00a0z é!? \u4e2d\u6587 \U0001f600 a\u0301b", "<|startoftext|>Ab</w> <|endoftext|> http://x.y/z?q=1 &amp; #a @b")
+
+
+def by_chunks(tokenizer: object) -> bool:
+    """Whether ChunkTokenizer is right for a tokenizer: byte pairs with word ends, lowered case, white space dropped."""
+    model = json.loads(tokenizer.to_str())
+    known = tokenizer.get_vocab()
+    if model["model"].get("type") != "BPE" or model["model"].get("end_of_word_suffix") != _WORD_END or _MARK not in known or "Lowercase" not in json.dumps(model["normalizer"]):
+        return False
+    whole = np.concatenate([np.array(tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) for p in _PROBES])
+    return bool(np.array_equal(ChunkTokenizer(tokenizer).encode([p.encode() for p in _PROBES])[0], whole))
+
+
 @lru_cache(maxsize=2)
-def tokenizer_at(path: str) -> ChunkTokenizer:
+def tokenizer_at(path: str) -> ChunkTokenizer | WholeTokenizer:
     """One for each Python worker, kept from task to task."""
-    return ChunkTokenizer(path)
+    tokenizer = _loaded(path)
+    return ChunkTokenizer(tokenizer) if by_chunks(tokenizer) else WholeTokenizer(tokenizer)
 
 
 def tokenise(docs: DataFrame, params: PackingParams) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Quality classifier by compression: texts are compressed against a dictionary of good and one of bad labelled text;
-the normalised difference of the two sizes becomes a calibrated score."""
+"""Quality classifier by compression: texts are compressed against a dictionary of good and one of bad labelled text; the
+difference of the two sizes, normalised by the text's length, becomes a calibrated score. It is the score's only input."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +19,13 @@ from quarry.llm.compression import Logistic, SizeModel, gather
 @dataclass(frozen=True)
 class QualityParams:
     """dictionary_bytes: room of each dictionary. sample_rows: labelled rows taken of each class, in hash order: the bound of
-    what reaches the driver, with sample_chars as the longest text of a sample. level: of zstandard."""
+    what reaches the driver, with sample_chars of each one's text. piece: a text is compressed in pieces of so many bytes, so
+    that its own repetitions don't drown what the dictionaries add. level: of zstandard."""
 
-    dictionary_bytes: int = 256 << 10
+    dictionary_bytes: int = 512 << 10
     sample_rows: int = 2500
     sample_chars: int = 8192
+    piece: int = 2048
     level: int = 6
     folds: int = 3
     held_out: int = 1
@@ -40,50 +42,44 @@ class QualityModel:
         """0 to 1; a model fitted on no rows of one class gives the other class's share for every text."""
         if self.calibration is None:
             return np.full(len(texts), self.prior)
-        return self.calibration(features(self.sizes.sizes(texts), np.array([len(t) for t in texts], dtype=np.float64)))
+        return self.calibration(difference(self.sizes, texts))
 
 
-def features(sizes: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The normalised size difference, alone and by length, and the two compression rates. sizes: good, bad."""
-    good, bad = sizes[:, 0].astype(np.float64), sizes[:, 1].astype(np.float64)
-    length = np.maximum(length, 1)
-    difference = (bad - good) / np.maximum(1, np.maximum(good, bad))
-    rate = np.minimum(good / length, 2)
-    return np.column_stack([difference, difference * np.log1p(length), rate, np.minimum(bad / length, 2), rate**2, np.log1p(length)])
+def difference(sizes: SizeModel, texts: list[bytes]) -> np.ndarray:
+    """How many bytes less a text takes under the good dictionary than under the bad one, per byte of it; one column."""
+    both = sizes.sizes(texts).astype(np.float64)
+    return ((both[:, 1] - both[:, 0]) / np.maximum([len(t) for t in texts], 1))[:, None]
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
     """Learns from labelled rows outside the held-out fold. In hash order, even rows of each class build its dictionary and
     odd rows calibrate, weighted by how often the class occurs among all learnable labels. Repeated labels of an id count
-    once, by the largest; null ids, labels and texts teach nothing."""
+    once, by the largest; null ids and labels, and null and empty texts, teach nothing; of a longer text than sample_chars, so
+    much is learned from, so classes of long texts lose no rows."""
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), params.folds) != params.held_out))
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
     )
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    by_class: list[list[bytes]] = []
-    for quality in (1, 0):
-        own = sampled(known.where(F.col("quality") == quality), F.col("doc_id"), params.sample_rows, counts.get(quality, 0))
-        ids = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_rows).select("doc_id")
-        rows = (
-            docs.join(F.broadcast(ids), "doc_id", "left_semi")  # at most sample_rows ids
-            .where((F.length("text") > 0) & (F.length("text") <= params.sample_chars))
-            .groupBy("doc_id").agg(F.min("text").alias("text"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_rows)
-        )
-        by_class.append([r["text"].encode() for r in rows.select("text", "doc_id").collect()])
+    own = [sampled(known.where(F.col("quality") == q), F.col("doc_id"), 2 * params.sample_rows, counts.get(q, 0)) for q in (1, 0)]
+    ids = [o.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * params.sample_rows) for o in own]  # twice as many, as some may have no text
+    rows = (
+        docs.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.length("text") > 0)
+        .groupBy("doc_id", "quality").agg(F.min(F.substring("text", 1, params.sample_chars)).alias("text"))
+    )
+    nth = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    taken = rows.withColumn("nth", nth).where(F.col("nth") <= params.sample_rows).orderBy("nth").collect()
+    by_class = [[r["text"].encode() for r in taken if r["quality"] == quality] for quality in (1, 0)]
     halves = [(rows[::2], rows[1::2]) for rows in by_class]
-    sizes = SizeModel([gather(build, params.dictionary_bytes)[0] for build, _ in halves], params.level)
+    sizes = SizeModel([gather(build, params.dictionary_bytes)[0] for build, _ in halves], params.level, params.piece)
     total = counts.get(0, 0) + counts.get(1, 0)
     prior = counts.get(1, 0) / total if total else 0.5
     held = [rows for _, rows in halves]
     if not all(held):
         return QualityModel(sizes, None, prior)
-    texts = held[0] + held[1]
     y = np.repeat([1.0, 0.0], [len(held[0]), len(held[1])])
     weight = np.repeat([counts[1] / len(held[0]), counts[0] / len(held[1])], [len(held[0]), len(held[1])])
-    x = features(sizes.sizes(texts), np.array([len(t) for t in texts], dtype=np.float64))
-    return QualityModel(sizes, Logistic(x, y, weight), prior)
+    return QualityModel(sizes, Logistic(difference(sizes, held[0] + held[1]), y, weight), prior)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -2,9 +2,9 @@
 quotas that keep every shard's row count as it began.
 
 Links are given as groups (here: equal texts), so a document's neighbours are counted once per group and shard and no pairs are
-made. In a round each scattered group names the shard with most of its
-members, among those that still hold unlinked documents; members elsewhere want to move there. Per pair of shards
-a quota of moves is granted, and as many unlinked documents move the other way, so counts stay at most one apart."""
+made. In a round each scattered group names the shard with most of its members, those that still hold unlinked documents before
+others; members elsewhere want to move there. Per pair of shards a quota of moves is granted: as many unlinked documents move
+the other way, and where there are none left, linked ones that want to, one for one or in rings. Counts stay at most one apart."""
 
 from __future__ import annotations
 
@@ -14,16 +14,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, stored
+from quarry.llm.common import discard, few, stored
 
 
 @dataclass(frozen=True)
 class ShardParams:
-    """group_rows: larger groups are split into parts of about as many rows (half a shard at most), each a group by itself."""
+    """Groups of over half a shard are split into parts of about that size, each a group by itself. rounds: at most. bucket_rows:
+    of the buckets that numbers are dealt in."""
 
     shards: int = 16
-    rounds: int = 8
-    group_rows: int = 1 << 17
+    rounds: int = 10
     bucket_rows: int = 1 << 14
 
 
@@ -48,9 +48,14 @@ def quotas(wanted: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, list[tupl
         j = int(over.argmax())
         if over[j] <= 0:
             break
-        column = granted[:, j]
-        less = np.minimum(column, np.ceil(column * over[j] / column.sum()).astype(np.int64))
-        granted[:, j] = column - less
+        excess = int(over[j])
+        for i in np.argsort(over, kind="stable").tolist():  # from shards that lose more than they get, first
+            less = min(excess, int(granted[i, j]), max(-int(over[i]), 0))
+            granted[i, j] -= less
+            excess -= less
+        if excess == over[j]:  # those that are left all get as much as they lose: some must lose less in turn
+            i = int(granted[:, j].argmax())
+            granted[i, j] -= min(excess, int(granted[i, j]))
     net = granted.sum(axis=0) - granted.sum(axis=1)
     ways, need = [], [(j, -int(n)) for j, n in enumerate(net) if n < 0]
     for j in np.flatnonzero(net > 0).tolist():
@@ -77,35 +82,36 @@ def propagate(rows: DataFrame, params: ShardParams) -> DataFrame:
     """rows: row (unique), grp. Gives row, shard, with counts of shards at most one apart. Rows of a null group are unlinked."""
     k = params.shards
     total = rows.count()
-    half = max(1, min(params.group_rows, total // (2 * k)))
+    half = max(1, total // (2 * k))
     sizes = rows.where(F.col("grp").isNotNull()).groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    linked = rows.join(sizes, "grp", "left")
+    linked = rows.join(few(stored(sizes)), "grp", "left")
     part = F.when(F.col("n") > half, F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / half))).otherwise(0)
     linked = linked.withColumn("part", part).select("row", F.when(F.col("n").isNotNull(), F.xxhash64("grp", "part")).alias("link"))
     start = numbered(linked.withColumn("all", F.lit(0)), ["all"], ["row"], "at", total, params.bucket_rows)
     now = stored(start.select("row", "link", (F.col("at") % k).cast("int").alias("shard")))
-    for _ in range(params.rounds):
+    for turn in range(params.rounds):
         spare = np.zeros(k, np.int64)
         for r in now.where(F.col("link").isNull()).groupBy("shard").count().collect():
             spare[r["shard"]] = r["count"]
         here = now.where(F.col("link").isNotNull()).groupBy("link", "shard").agg(F.count("*").alias("n"))
-        open_shard = F.col("shard").isin(np.flatnonzero(spare).tolist())  # a full one takes no more: what is split gathers elsewhere
-        best = here.groupBy("link").agg(
-            F.max_by("shard", F.struct(open_shard, "n", F.xxhash64("link", "shard"))).alias("target"), F.count("*").alias("spread")
+        open_shard = F.col("shard").isin(np.flatnonzero(spare).tolist())  # others take members only for members
+        best = here.groupBy("link").agg(  # ties fall otherwise in each round, so that what found no exchange may find one
+            F.max_by("shard", F.struct(open_shard, "n", F.xxhash64("link", "shard", F.lit(turn)))).alias("target"), F.count("*").alias("spread")
         )
-        best = best.where((F.col("spread") > 1) & F.col("target").isin(np.flatnonzero(spare).tolist())).drop("spread")
+        best = stored(best.where(F.col("spread") > 1).drop("spread"))
         alone = now.where(F.col("link").isNull()).withColumn("target", F.lit(None).cast("int"))  # apart: nulls would meet in one task
-        joined = now.where(F.col("link").isNotNull()).join(best, "link", "left")
+        joined = now.where(F.col("link").isNotNull()).join(few(best), "link", "left")
         joined = joined.select("row", "link", "shard", F.when(F.col("target") != F.col("shard"), F.col("target")).alias("target"))
         aimed = stored(joined.unionByName(alone))
         wanted = np.zeros((k, k), np.int64)
         for r in aimed.where(F.col("target").isNotNull()).groupBy("shard", "target").count().collect():  # shards squared at most
             wanted[r["shard"], r["target"]] = r["count"]
         if not wanted.any():
-            return now.select("row", "shard")
+            break
         granted, ways = quotas(wanted, spare)
         if not granted.any():
-            return now.select("row", "shard")
+            discard(aimed, best)
+            continue
         movers = numbered(aimed.where(F.col("target").isNotNull()), ["shard", "target"], ["link", "row"], "nth", total, params.bucket_rows)
         quota = now.sparkSession.createDataFrame([(i, j, int(granted[i, j])) for i in range(k) for j in range(k)], "shard int, target int, quota long")
         movers = movers.join(F.broadcast(quota), ["shard", "target"])  # shards squared rows
@@ -114,7 +120,7 @@ def propagate(rows: DataFrame, params: ShardParams) -> DataFrame:
         singles = numbered(aimed.where(F.col("link").isNull()), ["shard"], ["row"], "nth", total, params.bucket_rows)
         singles = singles.select("row", "link", F.coalesce(_among(ways, F.col("nth"), F.col("shard")), F.col("shard")).alias("shard"))
         moved = stored(movers.unionByName(still).unionByName(singles))
-        discard(now, aimed)
+        discard(now, aimed, best)
         now = moved
     return now.select("row", "shard")
 

@@ -419,9 +419,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Equal sets of shingles count as one. Candidates come from the fingerprints first: rows near one that is sure to stay are
     found in BK-trees, compared in full, and go. Similarity of 0.8 can differ in more bits than any radius bears, so what is
     left is looked at exactly: sets that are similar share a shingle of their prefixes, and all pairs that do are compared.
-    A row is sure to stay if no earlier one shares such a shingle. While a shingle has more than crowd rows, they are compared
-    with its sure one only, and what is similar goes: a large group takes work in proportion. All pairs of a shingle's
-    remaining rows are compared then. Texts without words are one group; repeated rows are copies; an empty table gives no rows."""
+    A row is sure to stay if no earlier one shares such a shingle. While a row meets more than crowd others per shingle on
+    average, rows are compared with those sure to stay only, and what is similar goes: a large group takes work in proportion.
+    All pairs of a shingle's remaining rows are compared then. Texts without words are one group; repeated rows are copies; an empty table gives no rows."""
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     texts = numbered.select(F.col("__row").alias("row"), "doc_id", "text")
     found = stored(_sketches(texts, shingle, similarity, _common(texts, shingle, numbered.count())))
@@ -462,11 +462,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     before, idle = None, 0
     while True:
-        crowded = live.where((F.col("place") == F.col("head")) & (F.col("held") > crowd)).agg(F.sum("held")).first()[0] or 0
-        idle = idle + 1 if before is not None and crowded > 0.75 * before else 0
-        if not crowded or idle > 3:  # where comparing with heads does not help, all pairs are compared
+        held = live.where(F.col("place") == F.col("head")).agg(F.sum("held"), F.sum(F.col("held") * F.col("held"))).first()
+        idle = idle + 1 if before is not None and held[1] > 0.75 * before else 0
+        if not held[0] or held[1] <= crowd * held[0] or idle > 3:  # where comparing with heads does not help, all pairs are compared
             break
-        before = min(crowded, before or crowded)
+        before = min(held[1], before or held[1])
         sure = ahead(live)
         pairs = live.join(few(sure.withColumnRenamed("place", "head")), "head", "left_semi").where(F.col("place") != F.col("head")).select("place", "n", "head").distinct()
         pairs = pairs.join(few(sizes), "head").where(_sized(F.col("n"), F.col("m"), similarity)).select("place", F.col("head").alias("first"))

@@ -1,11 +1,10 @@
 """Suffix-array dedup: finds every byte covered by a string of `length` bytes that also starts anywhere else.
 
 Anchors. Of the grams in a string of `length` bytes, the least by hash (leftmost of equals) is its anchor, so equal strings have
-equal anchors at equal offsets. Strings whose anchor's hash occurs once can't repeat; the others go to the shard of that hash.
-Shards. Where a shard's strings can begin is known relative to their anchors, so its suffix arrays are sparse: one holds the
-suffixes that begin at anchors, one the reversed prefixes that end there. Both are sorted by refinement as Larsson and Sadakane
-do, where only groups still tied are sorted further, and common prefixes of neighbours follow. Two strings at one offset are
-equal if no neighbour between them in either array has a shorter common prefix than the string's part on that side.
+equal anchors at equal offsets. Strings whose anchor's hash occurs once can't repeat; the others, as regions of text around
+their anchors, go to the shard of that hash.
+Shards. A shard sorts all suffixes of its distinct regions by Larsson and Sadakane's refinement, measures the common prefixes of
+neighbours by Kasai's walk, and a string repeats where a neighbour shares `length` bytes or its region stands there twice.
 Across shards. Anchors too common for one shard are merged over all shards by their strings' digests."""
 
 from __future__ import annotations
@@ -20,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, map_text, slices, stored, to_bytes
+from quarry.llm.common import discard, few, map_text, quoted, slices, stored, to_bytes
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_OTHER_ODD = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -33,7 +33,7 @@ class SuffixParams:
 
     length: int = 200
     gram: int = 56
-    shard_rows: int = 24_000
+    shard_rows: int = 8_000
     hot_rows: int = 16_000
 
     def __post_init__(self) -> None:
@@ -41,23 +41,23 @@ class SuffixParams:
             raise ValueError("length - gram must be 0 to 255, as distances to an anchor are kept in a byte")
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, size: int, odd: tuple[np.uint64, ...] = _ODD) -> np.ndarray:
     """A 64-bit hash of each run of size bytes, by doubling."""
 
     def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        out = left * _ODD[1]
-        out += right * _ODD[2]
+        out = left * odd[1]
+        out += right * odd[2]
         out ^= out >> np.uint64(31)
         return out
 
-    out = (data.astype(np.uint64) + np.uint64(1)) * _ODD[0]
+    out = (data.astype(np.uint64) + np.uint64(1)) * odd[0]
     out ^= out >> np.uint64(29)
     span = 1
     while span * 2 <= size:
         out, span = joined(out[:-span], out[span:]), span * 2
     if span < size:
         out = joined(out[: span - size], out[size - span :])
-    out *= _ODD[0]
+    out *= odd[0]
     out ^= out >> np.uint64(32)
     return out
 
@@ -109,62 +109,105 @@ def _anchors(texts: list[bytes], first: int, params: SuffixParams) -> list[tuple
     return [(text + first, full[place].view(np.int64), place - begins[text], place - starts[heads], place - starts[tails])]
 
 
-def refined(groups: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts rows of bytes within groups. Gives the order and each row's common prefix with the one before it there; -1 at the
-    first of a group. Each step reads eight more bytes of those rows only that are still tied with a neighbour."""
-    n, wide = rows.shape
-    words = np.zeros((n, -(-wide // 8) * 8), np.uint8)
-    words[:, :wide] = rows
-    words = words.view(">u8").astype(np.uint64)
-    order = np.argsort(groups, kind="stable")
-    name = groups[order]
-    new = np.concatenate([[True], name[1:] != name[:-1]])
-    for w in range(words.shape[1]):
-        rank = np.cumsum(new)
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        value = words[order[at], w]
-        by = np.lexsort((value, rank[at]))
-        order[at], value = order[at][by], value[by]
-        breaks = np.concatenate([[True], value[1:] != value[:-1]])
-        new[at] |= breaks  # at is in order of rank, so a change of rank is already marked
-    same = rows[order[1:]] == rows[order[:-1]]
-    common = np.where(same.all(axis=1), wide, same.argmin(axis=1))
-    common[groups[order[1:]] != groups[order[:-1]]] = -1
-    return order, np.concatenate([[-1], common])
-
-
-def repeated_starts(groups: np.ndarray, regions: list[bytes], far: np.ndarray, near: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
+def _in_order(key: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the sorted keys (0 to below - 1) stood, and the keys. Sorting values is ten times as fast as sorting places,
+    so the place stands in the low bits, if there is room."""
+    low = int(len(key)).bit_length()
+    if (below - 1).bit_length() + low > 64:
+        by = np.argsort(key, kind="stable")
+        return by, key[by]
+    packed = key.astype(np.uint64) << np.uint64(low) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << low) - 1)).astype(np.int64), packed >> np.uint64(low)
+
+
+def suffix_array(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes of the texts that stand end to end in data with these sizes, and each position's rank in it. A
+    text's end comes before every byte, and ends in order of their texts, so no two suffixes tie.
+
+    Larsson and Sadakane: suffixes are sorted by their first bytes (four, at once); then, step by step, those of each tied group
+    by the rank of the suffix that begins where the sorted bytes end, which doubles the bytes sorted by. What is alone in its
+    group is not touched again."""
+    n, texts = len(data), len(sizes)
+    text = np.repeat(np.arange(texts, dtype=np.int32), sizes)
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    word = np.zeros(n, np.uint64)
+    padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint64)
+    for k in range(4):
+        word = word << np.uint64(8) | np.where(room > k, padded[k : n + k], np.uint64(0))
+    order, word = _in_order(word * np.uint64(5) + np.minimum(room, 4).astype(np.uint64), 5 << 32)
+    new = np.ones(n, dtype=bool)
+    new[1:] = word[1:] != word[:-1]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    place, at, span, head = np.flatnonzero(tied), order[tied], 4, new[tied]
+    while len(at):
+        later = np.where(room[at] > span, rank[np.minimum(at + span, n - 1)] + np.int64(texts), text[at])
+        group = np.cumsum(head) - 1
+        by, key = _in_order(group * (n + texts) + later, (int(group[-1]) + 1) * (n + texts))
+        at = at[by]
+        order[place] = at  # place is in order of rank, as the sorted keys are
+        head = np.ones(len(key), dtype=bool)
+        head[1:] = key[1:] != key[:-1]
+        rank[at] = np.maximum.accumulate(np.where(head, place, 0))
+        left = ~head
+        left[:-1] |= ~head[1:]
+        place, at, span, head = place[left], at[left], span * 2, head[left]
+    return order, rank
+
+
+def common_prefixes(data: np.ndarray, sizes: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """For the first starts positions of each text, the bytes (most, if more) in common with the suffix before it in the order;
+    -1 for other positions.
+
+    Kasai: in order of text, the next suffix has at least one byte less in common with the one before it, so bytes are not
+    compared again. All texts are walked side by side, a position at a time."""
+    n = len(data)
+    ends = np.cumsum(sizes)
+    end_of = np.repeat(ends, sizes)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1)).copy().view("<u8").ravel()
+    out = np.full(n, -1, np.int32)
+    begins, known = ends - sizes, np.zeros(len(sizes), np.int64)
+    by_length = np.argsort(-starts, kind="stable")
+    active = np.searchsorted(-starts[by_length], -np.arange(int(starts.max()) if len(starts) else 0), side="left")
+    for step, count in enumerate(active.tolist()):
+        own = by_length[:count]
+        at = begins[own] + step
+        above = rank[at]
+        other = order[above - 1]  # of the first in the order: the last one, set right below
+        limit = np.minimum(np.minimum(end_of[at] - at, end_of[other] - other), most)
+        limit[above == 0] = 0
+        same = np.minimum(np.maximum(known[own] - 1, 0), limit)
+        todo = np.flatnonzero(same < limit)
+        while len(todo):
+            apart = word[at[todo] + same[todo]] ^ word[other[todo] + same[todo]]
+            low = apart & (~apart + np.uint64(1))  # its lowest set bit stands in the first byte that differs
+            equal = np.where(apart == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
+            same[todo] = np.minimum(same[todo] + equal, limit[todo])
+            todo = todo[(apart == 0) & (same[todo] < limit[todo])]
+        known[own] = same
+        out[at] = same
+    return out
+
+
+def repeated_starts(regions: list[bytes], far: np.ndarray, near: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
     """matched[row, back]: whether the string that begins back bytes before the row's anchor occurs again. A region runs from far
     bytes before the anchor to length bytes after the nearest start; a row of weight over 1 stands for as many equal ones."""
-    n, most = len(regions), int(far.max()) + 1
     data = np.frombuffer(b"".join(regions), np.uint8)
-    begins = np.cumsum([0, *map(len, regions)])[:-1]
-    right, left = np.zeros((n, length), np.uint8), np.zeros((n, most), np.uint8)
-    for out, size, step in ((right, length - near, 1), (left, far, -1)):
-        row = np.repeat(np.arange(n), size)
-        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out[row, k] = data[begins[row] + far[row] + (k if step > 0 else -1 - k)]
-    order_r, common_r = refined(groups, right)
-    order_l, common_l = refined(groups, left)
-    name_r, name_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    matched = np.zeros((n, most), dtype=bool)
-    for back in range(int(near.min()), most):
-        own = np.flatnonzero((near <= back) & (back <= far))
-        if not len(own):
-            continue
-        name_r[order_r] = np.cumsum(common_r < length - back)
-        name_l[order_l] = np.cumsum(common_l < back)
-        key = name_r[own] * (n + 1) + name_l[own]
-        by = np.argsort(key, kind="stable")
-        key = key[by]
-        twin = np.concatenate([[False], key[1:] == key[:-1]])
-        twin[:-1] |= twin[1:].copy()
-        matched[own[by], back] = twin
-        matched[own, back] |= weight[own] > 1
+    sizes = np.array([len(r) for r in regions], dtype=np.int64)
+    starts = far - near + 1
+    order, rank = suffix_array(data, sizes)
+    common = common_prefixes(data, sizes, order, rank, starts, length)
+    hit = np.flatnonzero(common >= length)
+    matched_at = np.zeros(len(data), dtype=bool)
+    matched_at[hit] = matched_at[order[rank[hit] - 1]] = True
+    row = np.repeat(np.arange(len(regions)), starts)
+    nth = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+    matched = np.zeros((len(regions), int(far.max()) + 1), dtype=bool)
+    matched[row, far[row] - nth] = matched_at[(np.cumsum(sizes) - sizes)[row] + nth] | (weight[row] > 1)
     return matched
 
 
@@ -176,8 +219,7 @@ def _shard(columns: list[list], params: SuffixParams) -> pa.RecordBatch:
     distinct = list(classes)
     far = np.array([c[2] for c in distinct])
     near = params.length + far - np.array([len(c[1]) for c in distinct])
-    groups = np.unique([c[0] for c in distinct], return_inverse=True)[1]
-    matched = repeated_starts(groups, [c[1] for c in distinct], far, near, count, params.length)
+    matched = repeated_starts([c[1] for c in distinct], far, near, count, params.length)
     edge = np.diff(np.pad(matched, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1  # runs of back, nearest first
@@ -310,18 +352,20 @@ def _hot_spans(regions: DataFrame, params: SuffixParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 3):
-                keys, places, fars, found, copied = (c.to_pylist() for c in part.columns)
-                strings = [
-                    (key, place - far + k, hashlib.md5(region[k : k + params.length], usedforsecurity=False).digest(), again)
-                    for key, place, far, region, again in zip(keys, places, fars, found, copied, strict=True)
-                    for k in range(len(region) - params.length + 1)
-                ]
-                columns = list(zip(*strings, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "start", "digest", "copied"])
-
-    strings = map_text(regions.select("key", "place", "far", "region", "copied"), run, "key binary, start long, digest binary, copied long")
-    twice = strings.groupBy("digest").agg(F.sum(F.col("copied") + 1).alias("n")).where("n > 1").select("digest")
-    return strings.where("copied = 0").join(twice, "digest", "left_semi").select("key", "start", (F.col("start") + params.length).alias("end"))
+                keys, place, far, regions, copied = (part.column(i) for i in range(5))
+                data = np.frombuffer(b"".join(regions.to_pylist()), np.uint8)
+                sizes = np.array([len(r) for r in regions.to_pylist()], dtype=np.int64)
+                counts = sizes - params.length + 1
+                row = np.repeat(np.arange(len(sizes)), counts)
+                nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = (np.cumsum(sizes) - sizes)[row] + nth
+                digest = [pa.array(gram_hashes(data, params.length, odd)[at].view(np.int64)) for odd in (_ODD, _OTHER_ODD)]
+                start = pa.array((place.to_numpy() - far.to_numpy())[row] + nth)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), start, *digest, copied.take(pa.array(row))], names=["key", "start", "high", "low", "copied"])
+
+    strings = map_text(regions.select("key", "place", "far", "region", "copied"), run, "key binary, start long, high long, low long, copied long")
+    twice = stored(strings.groupBy("high", "low").agg(F.sum(F.col("copied") + 1).alias("n")).where("n > 1").select("high", "low"))
+    return strings.where("copied = 0").join(few(twice), ["high", "low"], "left_semi").select("key", "start", (F.col("start") + params.length).alias("end"))
 
 
 def _settle(spark: SparkSession) -> None:
@@ -402,7 +446,8 @@ def dedup(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
 
 def cut_documents(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
     """docs with every repeated string cut from text and n_chars, where there is one, set to what is left; all rows stay. A
-    character that a cut leaves in part goes. Texts that stand there more than once and have length bytes become empty."""
+    character that a cut leaves in part goes. Texts that stand there more than once and have length bytes become empty. Null and
+    shorter texts stay as they are; columns named __key or __text must not be there."""
     plain = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     keyed = docs.withColumn("__key", F.unhex(F.md5(plain)))
 

@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from quarry.llm import language, quality
 from quarry.llm.compression import Logistic, SizeModel, gather
@@ -96,6 +98,75 @@ def test_held_out_accuracy(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.85
 
 
+def plain_size(raw, level, text, piece=0):
+    """Compressed size of a text, by the library alone."""
+    held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(raw) >= 8 else None
+    if held:
+        held.precompute_compress(level=level)
+    made = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False, dict_data=held)
+    return sum(len(made.compress(text[i : i + (piece or len(text) or 1)])) for i in range(0, max(1, len(text)), piece or max(1, len(text))))
+
+
+def test_quality_against_plain_python(spark, docs):
+    """The whole fit and score again, without Spark: dictionaries from even rows in hash order, a logistic curve from odd ones."""
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(450)], "doc_id long, quality int")
+    params = quality.QualityParams(dictionary_bytes=4096, sample_rows=60, sample_chars=400, piece=128)
+    own = docs.where("doc_id < 450 and doc_id <> 5").select("doc_id", "text")
+    rows = own.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).collect()
+    learn = sorted((r for r in rows if not held(r.doc_id, 3, 1)), key=lambda r: (r.h, r.doc_id))
+    texts = [[r.text[:400].encode() for r in learn if (r.doc_id < 300) == good][:60] for good in (True, False)]
+    raw = []
+    for own_texts in texts:
+        taken = b""
+        for t in own_texts[::2]:
+            if len(taken) + len(t) + 1 > 4096 + (not taken):
+                break
+            taken += (b"\n" if taken else b"") + t
+        raw.append(taken)
+    assert raw == [gather(t[::2], 4096)[0] for t in texts]
+
+    def measure(t):
+        good, bad = (plain_size(r, params.level, t, 128) for r in raw)
+        return (bad - good) / max(1, len(t))
+
+    x = np.array([measure(t) for own_texts in texts for t in own_texts[1::2]])
+    y = np.repeat([1.0, 0.0], [len(t[1::2]) for t in texts])
+    total = [sum((r.doc_id < 300) == good for r in learn) for good in (True, False)]
+    curve = Logistic(x[:, None], y, np.where(y == 1, total[0] / (y == 1).sum(), total[1] / (y == 0).sum()))
+    got = {r.doc_id: r.score for r in quality.classify(own, labels, params).collect()}
+    assert got == {r.doc_id: pytest.approx(float(curve(np.array([[measure(r.text.encode())]]))[0]), abs=1e-9) for r in rows}
+
+
+def test_language_against_plain_python(spark, docs):
+    """Every text's sizes again, under dictionaries put together in plain Python."""
+    params = language.LanguageParams(dictionary_bytes=3000, sample_rows=80, level=5)
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("h")).collect()
+    raw = {}
+    for name in ("en", "de"):
+        own = [r for r in rows if r.lang == name and not (r.doc_id is not None and held(r.doc_id, 4, 2)) and r.text and 32 <= len(r.text) <= 8192]
+        own.sort(key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0))
+        raw[name] = gather(dict.fromkeys(language.normalise(r.text) for r in own[:80]), 3000)[0]
+    got = language.identify(docs, params).collect()
+    want = {}
+    for r in rows:
+        sizes = {n: plain_size(d, 5, language.normalise(r.text)) for n, d in raw.items()}
+        named = min(("en", "de"), key=sizes.get) if r.text and any(c.isalpha() for c in r.text) else "und"
+        want.setdefault((r.doc_id, named), 0)
+        want[r.doc_id, named] += 1
+    found = {}
+    for r in got:
+        found[r.doc_id, r.lang_pred] = found.get((r.doc_id, r.lang_pred), 0) + 1
+    assert found == want
+
+
+def test_quality_learns_from_classes_of_long_texts(spark):
+    rows = [(i, ("good words here " if i % 2 else "bad stuff there ") * 1500) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
 def test_parts():
     assert gather([b"aa", b"b" * 9, b"c"], 8) == (b"aa", 1)
     sizes = SizeModel([b"", b"the quick brown fox " * 20], 3).sizes([b"the quick brown fox", b""])

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quarry.llm.hnsw import Graph, HnswParams, _unit, linked, near_duplicates
+from quarry.llm.hnsw import Graph, HnswParams, _unit, linked, near_duplicates, summed
 
 
 def sample(seed, n=2500, d=32):
@@ -17,17 +17,39 @@ def pairs_of(vectors, cosine=0.93):
     return set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(units @ units.T >= cosine, 1)))))
 
 
+def found_pairs(hits, shift=0):
+    return {(min(a, q + shift), max(a, q + shift)) for q, a in zip(*map(np.ndarray.tolist, np.nonzero(hits)))}
+
+
 def test_graph_recall():
     vectors, params = sample(0), HnswParams()
-    ids = np.arange(len(vectors))
-    found = set(zip(*map(np.ndarray.tolist, linked(ids, vectors, Graph(_unit(vectors), params), ids, vectors, params))))
+    found = found_pairs(linked(vectors, Graph(_unit(vectors), params), None, params))
     true = pairs_of(vectors)
     assert found <= true and len(found) >= 0.98 * len(true)
     half = len(vectors) // 2
     left = Graph(_unit(vectors[:half]), params)
-    across = set(zip(*map(np.ndarray.tolist, linked(ids[:half], vectors[:half], left, ids[half:], vectors[half:], params))))
+    across = found_pairs(linked(vectors[:half], left, vectors[half:], params), half)
     true = {(a, b) for a, b in true if a < half <= b}
-    assert across <= true and len(across) >= 0.95 * len(true)
+    assert across <= true and len(across) >= 0.98 * len(true)
+
+
+def test_few_links_are_all_found():
+    """So few that a sample would hold none: the audit goes on until it has seen enough or everything."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((3000, 32))
+    vectors[1500:1510] = vectors[:10] + 0.1 * rng.standard_normal((10, 32))
+    params = HnswParams()
+    true = pairs_of(vectors)
+    assert len(true) == 10 and found_pairs(linked(vectors, Graph(_unit(vectors), params), None, params)) == true
+
+
+def test_dense_group_gives_a_row_each():
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal(16) + 0.02 * rng.standard_normal((900, 16))
+    params, ids = HnswParams(), np.arange(900) + 7
+    hits = linked(vectors, Graph(_unit(vectors), params), None, params)
+    rows = summed(hits, ids, np.full(900, 2), None, None)
+    assert len(rows) == 900 and (rows["more"] == 2 * 899).all() and (rows["root"] == 7).all()
 
 
 @pytest.mark.parametrize("shard_rows", [300, 8192])

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quarry.llm.packing import ChunkTokenizer, PackingParams, pieces, sequences
+from quarry.llm.packing import ChunkTokenizer, PackingParams, WholeTokenizer, pieces, sequences, tokenizer_at
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -45,3 +45,15 @@ def test_pieces_cover_each_id_once(spark, parts):
 
 def test_empty_table(spark):
     assert pieces(spark.createDataFrame([], "doc_id long, text string"), PackingParams(PATH)).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    """A byte-level vocabulary, where white space is part of ids."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert isinstance(tokenizer_at(PATH), ChunkTokenizer) and isinstance(tokenizer_at(other), WholeTokenizer)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2)
+    got = {}
+    for r in sorted(pieces(docs, PackingParams(other), keep_ids=True).collect(), key=lambda r: r.start):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    plain_ids = Tokenizer.from_file(other)
+    assert got == {i: [*plain_ids.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(TEXTS)}

@@ -112,3 +112,45 @@ def test_copies_of_many_unlike_texts_go(spark, crowd):
     rows = [(100 * copy + i, t) for copy in range(3) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in drop_near_copies(docs, crowd=crowd).collect()) == list(range(9))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, tokens int, quality_score double, domain string, __row int, `a.b` string, __key string, row int"
+
+
+def odd_docs(spark):
+    """Extra columns named like those that stages use inside, and texts of every kind."""
+    passage = " ".join(f"shared{k}" for k in range(60))
+    texts = [f"some words of {i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(40)] + [f"{passage} tail{i}" for i in range(3)]
+    texts += [None, "", "short", "long " + " ".join(f"v{k}" for k in range(150_000)), texts[0], texts[1] + " more"]
+    rows = [(i, t, ("en", None, "de")[i % 3], (f"src{i % 5}", None)[i % 7 == 0], None if t is None else len(t), 5, 0.25, "here", -7, "dot", "key", 3) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, (None, "no id at all", "en", "src1", 12, 5, 0.25, "here", -7, "dot", "key", 3)], ODD).repartition(3)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows_and_names(spark, name):
+    docs = odd_docs(spark).persist()
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    if name == "packing":
+        assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()} and all(r.length == len(r.ids) for r in rows)
+    else:
+        assert out.columns == docs.columns and rows
+        assert {(r.tokens, r.quality_score, r.domain, r["__row"], r["a.b"], r["__key"], r.row) for r in rows} == {(5, 0.25, "here", -7, "dot", "key", 3)}
+        before = {r.doc_id: r.text for r in docs.collect()}
+        same = {"quality", "near copies"}
+        assert all(r.text == before[r.doc_id] if name in same else len(r.text or "") <= len(before[r.doc_id] or "") for r in rows)
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.columns == out.columns and empty.count() == 0
+    docs.unpersist()
+
+
+def test_mixing_takes_no_more_tokens_than_granted(spark):
+    from quarry.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    granted = mixing.plan(docs, mixing.QUERY)[0]
+    leaves = docs.select(*(c.alias(n) for n, c in mixing.leaf_columns().items()), mixing.words(F.col("text")).alias("n")).groupBy(*mixing.LEVELS).agg(F.sum("n").alias("supply"))
+    want = granted.join(leaves, list(mixing.LEVELS)).agg(F.sum(F.col("full") * F.col("supply") + F.col("rest"))).first()[0]
+    got = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF).agg(F.sum(mixing.words(F.col("text")))).first()[0]
+    assert got == want

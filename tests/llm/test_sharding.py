@@ -1,5 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pytest
@@ -49,3 +51,58 @@ def test_law_slots_and_groups(spark, hot):
 
 def test_empty_table(spark):
     assert shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def split_groups(rows):
+    where = defaultdict(set)
+    for r in rows:
+        where[r.text_crc32].add(r.shard)
+    return [c for c, s in where.items() if len(s) > 1]
+
+
+def test_copies_only(spark):
+    """No unlinked document is there to make room: members change places with members."""
+    docs = spark.createDataFrame([(i, f"copy {i // 4}") for i in range(960)], "doc_id long, text string").repartition(3)
+    got = shard_documents(docs, ShardParams(bucket_rows=64)).collect()
+    counts = Counter(r.shard for r in got)
+    assert set(counts.values()) == {60} and len(split_groups(got)) <= 0.35 * 240
+
+
+@pytest.mark.parametrize(("sizes", "single", "shards"), [((2,) * 8, 0, 2), ((3, 3, 2, 2), 6, 2), ((4, 4, 4), 3, 3), ((2,) * 12, 4, 4), ((5, 4, 3, 2), 10, 3)])
+def test_cut_edges_against_the_optimum(spark, sizes, single, shards):
+    """Pairs of equal texts in different shards, against the least that any placement of the same shard sizes cuts."""
+    texts = [f"g{i}" for i, n in enumerate(sizes) for _ in range(n)] + [f"s{i}" for i in range(single)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = shard_documents(docs, ShardParams(shards=shards, bucket_rows=64)).collect()
+    room = Counter(r.shard for r in got)
+    assert max(room.values()) - min(room.values()) <= 1
+
+    def cut(parts):
+        return sum(a * b for i, a in enumerate(parts) for b in parts[:i])
+
+    half = max(1, len(texts) // (2 * shards))
+
+    @lru_cache(maxsize=None)
+    def least(i, left):
+        """The optimum over how group i and those after it fall to the shards with so much room left."""
+        if i == len(sizes):
+            return 0
+        best = 10**9
+        for parts in product(*(range(min(sizes[i], n) + 1) for n in left)):
+            if sum(parts) == sizes[i]:
+                best = min(best, cut(parts) + least(i + 1, tuple(n - p for n, p in zip(left, parts))))
+        return best
+
+    placed = defaultdict(Counter)
+    for r in got:
+        placed[texts[r.doc_id]][r.shard] += 1
+    ours = sum(cut(list(c.values())) for g, c in placed.items() if g[0] == "g")
+    worst = sum(n * (n - 1) // 2 for n in sizes)
+    whole = all(n <= half for n in sizes)  # larger groups are split on purpose
+    assert ours <= least(0, tuple(room.values())) + (0.5 if whole else 1) * worst
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, "long ä" * 400_000 if i < 3 else f"t{i}") for i in range(40)], "doc_id long, text string")
+    got = {r.doc_id: r for r in shard_documents(docs).collect()}
+    assert len({got[i].shard for i in range(3)}) <= 2 and got[0].size == 7 * 400_000 + 1

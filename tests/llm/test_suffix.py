@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm.suffix import SuffixParams, anchors, dedup, refined
+from quarry.llm.suffix import SuffixParams, anchors, common_prefixes, dedup, suffix_array
 
 
 def brute(texts, length):
@@ -23,20 +23,23 @@ def brute(texts, length):
     return out
 
 
-@settings(deadline=None, max_examples=60)
-@given(st.lists(st.binary(max_size=6), min_size=1, max_size=40), st.integers(0, 3))
-def test_refined_sorts_and_measures(strings, groups):
-    rows = np.zeros((len(strings), 11), np.uint8)
-    for r, s in zip(rows, strings):
-        r[: len(s)] = list(s)
-    group = np.arange(len(strings)) % (groups + 1)
-    order, common = refined(group, rows)
-    keys = [(group[i], rows[i].tobytes()) for i in order]
-    assert keys == sorted(keys)
-    for k in range(1, len(keys)):
-        a, b = keys[k - 1], keys[k]
-        want = -1 if a[0] != b[0] else next((i for i in range(11) if a[1][i] != b[1][i]), 11)
-        assert common[k] == want
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.binary(min_size=1, max_size=40).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=12), st.integers(1, 30), st.integers(1, 40))
+def test_suffixes_are_sorted_and_measured(texts, most, first):
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    starts = np.minimum(sizes, first)
+    order, rank = suffix_array(data, sizes)
+    common = common_prefixes(data, sizes, order, rank, starts, most)
+    suffixes = [(t[i:], k, i) for k, t in enumerate(texts) for i in range(len(t))]
+    # an end comes before every byte, and ends in order of their texts
+    want = sorted(range(len(suffixes)), key=lambda i: ([b + 1 for b in suffixes[i][0]] + [0], suffixes[i][1]))
+    assert order.tolist() == want and rank[order].tolist() == list(range(len(data)))
+    for i, (own, k, nth) in enumerate(suffixes):
+        if nth >= starts[k]:
+            assert common[i] == -1
+            continue
+        other = suffixes[order[rank[i] - 1]][0] if rank[i] else b""
+        assert common[i] == min(most, next((n for n, (x, y) in enumerate(zip(own, other)) if x != y), min(len(own), len(other))))
 
 
 @pytest.mark.parametrize("kind", ["random", "periodic"])
