@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,14 +13,49 @@ BANDS = {"confidence": (0.5, 0.8, 0.9), "support": (0.1, 0.5, 0.8), "accuracy":
 BAND_NAMES = ("low", "fair", "good", "excellent")
 
 
+def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns for the same by, nulls included; without by, right has one row."""
+    if not by:
+        return left.join(F.broadcast(right), F.lit(True), how)
+    other = right.select(*(F.col(b).alias(f"__by{i}") for i, b in enumerate(by)), *(c for c in right.columns if c not in by))
+    same = [F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]
+    return left.join(other, reduce(Column.__and__, same), how).drop(*(f"__by{i}" for i in range(len(by))))
+
+
+def elements_at(df: DataFrame, value: str, by: list[str], at: dict[str, Column], near: float = 0.5, wide: float = 0.002) -> DataFrame:
+    """by, n, then a column per entry of at: the element of that place (from 0, an expression of n) among the sorted non-null
+    values. Places must lie about the share near of all.
+
+    No group is sorted whole: two approximate quantiles enclose the wanted places, values below them are counted, and only the
+    share of values between them is numbered."""
+    v = F.col(value).cast("double")
+    per = df.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__c"))
+    low, high = max(0.0, near - wide), min(1.0, near + wide)
+    bounds = df.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(v, [low, high], 10_000).alias("__q"), F.min(v).alias("__min"), F.max(v).alias("__max"))
+    edge = lambda i, far: F.when(F.col("n") < 10_000, F.col(far)).otherwise(F.col("__q")[i])
+    bounds = bounds.withColumns({"__low": edge(0, "__min"), "__high": edge(1, "__max")})
+    both = _beside(per, bounds, by)
+    counts = both.groupBy(*by).agg(F.sum(F.when(F.col("__v") < F.col("__low"), F.col("__c")).otherwise(0)).alias("__before"))
+    inside = both.where(F.col("__v").between(F.col("__low"), F.col("__high")))
+    through = F.sum("__c").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__v"))
+    inside = inside.withColumn("__through", through)
+    inside = _beside(inside, counts, by)
+    end, begin = F.col("__before") + F.col("__through"), F.col("__before") + F.col("__through") - F.col("__c")
+    picked = [F.max(F.when((begin <= place) & (place < end), F.col("__v"))).alias(name) for name, place in at.items()]
+    return inside.groupBy(*by).agg(F.first("n").alias("n"), *picked)
+
+
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """by, n, mean, std (sample; 0 for one value), median, min, max, of the non-null values."""
+    """by, n, mean, std (sample; 0 for one value), median, min, max, of the non-null values. Without by and without values: one row
+    with n 0 and nulls."""
+    by = by or []
     present = df.where(F.col(value).isNotNull())
     v = F.col(value).cast("double")
-    measures = {
-        "n": F.count("*"), "mean": F.avg(v), "std": F.coalesce(F.stddev_samp(v), F.lit(0.0)), "median": F.percentile(v, F.lit(0.5)), "min": F.min(v), "max": F.max(v),
-    }
-    return present.groupBy(*(by or [])).agg(*(c.alias(n) for n, c in measures.items()))
+    measures = {"n": F.count("*"), "mean": F.avg(v), "std": F.coalesce(F.stddev_samp(v), F.lit(0.0)), "min": F.min(v), "max": F.max(v)}
+    plain = present.groupBy(*by).agg(*(c.alias(n) for n, c in measures.items()))
+    n = F.col("n")
+    middle = elements_at(df, value, by, {"__a": F.floor((n - 1) / 2), "__b": F.floor(n / 2)}).select(*by, ((F.col("__a") + F.col("__b")) / 2).alias("median"))
+    return _beside(plain, middle, by, "left").select(*by, "n", "mean", "std", "median", "min", "max")
 
 
 def with_interval(described: DataFrame, level: float = 0.95) -> DataFrame:
@@ -32,18 +68,15 @@ def with_interval(described: DataFrame, level: float = 0.95) -> DataFrame:
 
 def alternative(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """by, n, mean, std (population), upper_median (the element at n // 2), share_high (at least 0.8), share_low (under 0.5)."""
+    by = by or []
     v = F.col(value).cast("double")
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(v)
-    ranked = df.where(v.isNotNull()).withColumn("__r", F.row_number().over(order)) if by else None
     measures = [
         F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
         F.avg((v >= 0.8).cast("double")).alias("share_high"), F.avg((v < 0.5).cast("double")).alias("share_low"),
     ]
-    out = df.where(v.isNotNull()).groupBy(*(by or [])).agg(*measures)
-    if ranked is None:
-        return out.withColumn("upper_median", F.lit(None).cast("double"))
-    middle = ranked.join(out.select(*by, "n"), by).where(F.col("__r") == F.floor(F.col("n") / 2) + 1).select(*by, v.alias("upper_median"))
-    return out.join(middle, by)
+    out = df.where(v.isNotNull()).groupBy(*by).agg(*measures)
+    middle = elements_at(df, value, by, {"upper_median": F.floor(F.col("n") / 2)}).drop("n")
+    return _beside(out, middle, by, "left")
 
 
 def band(value: Column, kind: str) -> Column:

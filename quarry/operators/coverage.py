@@ -43,14 +43,12 @@ def completeness(own: DataFrame, other: DataFrame, least: float = 0.8) -> DataFr
 def greedy_coverage(own: DataFrame, other: DataFrame, least: float = 0.8) -> tuple[list[tuple[str, str]], float]:
     """Each own rule, in order of id, takes the first other rule that matches and is free; the pairs and the others' share.
     Order-dependent, so it runs on the driver over ids of matching rules: rule sets, not data."""
-    pairs: dict[str, list[str]] = {}
-    for r in _matches(own, other, least).orderBy("own", "other").collect():
-        pairs.setdefault(r["own"], []).append(r["other"])
-    taken, found = set(), []
-    for rule, options in pairs.items():
-        if free := next((o for o in options if o not in taken), None):
-            taken.add(free)
-            found.append((rule, free))
+    taken, found, done = set(), [], None
+    for r in _matches(own, other, least).orderBy("own", "other").toLocalIterator():  # a partition at a time
+        if r["own"] != done and r["other"] not in taken:
+            taken.add(r["other"])
+            found.append((r["own"], r["other"]))
+            done = r["own"]
     total = other.count()
     return found, len(found) / total if total else 0.0
 
@@ -107,3 +105,49 @@ def clause_compatible(predicates: DataFrame, compatible: DataFrame) -> DataFrame
     pairs = a.join(b, ["rule_id", "variable"]).where(F.col("r1") < F.col("r2"))
     bad = pairs.join(either, (F.col("r1") == F.col("left")) & (F.col("r2") == F.col("right")), "left_anti").select("rule_id").distinct().withColumn("bad", F.lit(True))
     return predicates.select("rule_id").distinct().join(bad, "rule_id", "left").select("rule_id", F.col("bad").isNull().alias("compatible"))
+
+
+def transitively_compatible(compatible: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (left, right) with compatible: whether right is reached from left by compatible pairs, either way round, or is it. A
+    round extends what is reached by one pair, from the wanted lefts only; rounds are as many as the longest shortest path.
+    Relations are schema-sized, so what is reached has columns squared rows at most."""
+    either = compatible.select("left", "right").unionByName(compatible.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct().persist()
+    reached = wanted.select("left", F.col("left").alias("right")).distinct().persist()
+    before = -1
+    while (size := reached.count()) != before:
+        before = size
+        step = reached.join(either.select(F.col("left").alias("right"), F.col("right").alias("next")), "right").select("left", F.col("next").alias("right"))
+        grown = reached.unionByName(step).distinct().persist()
+        grown.count()
+        reached.unpersist()
+        reached = grown
+    either.unpersist()
+    found = reached.withColumn("hit", F.lit(True))
+    return wanted.join(found, ["left", "right"], "left").select(*wanted.columns, F.coalesce("hit", F.lit(False)).alias("compatible"))
+
+
+#: A rule of one variable and one atom on each side, as rules.display() writes it.
+_ONE_VARIABLE = r"^∀ (\w+): (\w+)_\d+\((\w+)=\1\) ⇒ (\w+)_\d+\((\w+)=\1\)$"
+
+
+def as_inclusions(rules: DataFrame, text: str = "rule") -> DataFrame:
+    """rules that state an inclusion, with dependant and referenced ("table.column"); others have no row."""
+    own = rules.where(F.col(text).rlike(_ONE_VARIABLE))
+    part = lambda i: F.regexp_extract(text, _ONE_VARIABLE, i)
+    return own.withColumns({"dependant": F.concat_ws(".", part(2), part(3)), "referenced": F.concat_ws(".", part(4), part(5))})
+
+
+def miner_overlap(own: DataFrame, other: DataFrame, least: float = 0.8) -> DataFrame:
+    """own_id, other_id, similarity: rules of two miners (rule_id, tables) whose tables are shared by that part of the larger set or
+    more. Only rules that share a table meet."""
+    a = own.select(F.col("rule_id").alias("own_id"), F.array_distinct(F.transform("tables", normal_table)).alias("t"))
+    b = other.select(F.col("rule_id").alias("other_id"), F.array_distinct(F.transform("tables", normal_table)).alias("u"))
+    met = a.withColumn("k", F.explode("t")).join(b.withColumn("k", F.explode("u")), "k").drop("k")
+    share = F.size(F.array_intersect("t", "u")) / F.greatest(F.size("t"), F.size("u"))
+    return met.select("own_id", "other_id", share.alias("similarity")).where(F.col("similarity") >= least).distinct()
+
+
+def inclusion_overlap(inclusions: DataFrame, rules: DataFrame, text: str = "rule") -> DataFrame:
+    """The inclusions (dependant, referenced) that a rule of one variable states as well."""
+    stated = as_inclusions(rules, text).select("dependant", "referenced").distinct()
+    return inclusions.join(stated, ["dependant", "referenced"], "left_semi")

@@ -9,16 +9,17 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.sources.catalog import Catalog
+from quarry.sources.catalog import Catalog, Constraints, canon
 
 #: A body literal: local column, table, its column; or a further step from a table that stands there already.
 Literal = tuple[str, str, str]
 
 
 def examples(catalog: Catalog, table: str) -> DataFrame:
-    """The table's distinct rows with a number, example, that follows from their values."""
+    """The table's distinct rows with a key, example, that follows from their values; a null is a value of its own there."""
     df = catalog[table].distinct()
-    return df.withColumn("example", F.xxhash64(*df.columns))
+    fields = F.struct(*(canon(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)))
+    return df.withColumn("example", F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256))
 
 
 def covered(catalog: Catalog, table: str, bodies: dict[str, list[Literal]]) -> DataFrame:
@@ -77,6 +78,46 @@ def greedy_cover(coverage_rows: DataFrame, literals: dict[str, int], most: int =
     return chosen
 
 
+def learn(
+    catalog: Catalog, table: str, pairs: list[tuple[str, str]], max_literals: int = 2, most: int = 10, excluded: DataFrame | None = None
+) -> tuple[list[tuple[str, int]], dict[str, int]]:
+    """Bodies for the rows of table, chosen greedily from those that cover examples, and how many were tried and pruned. Bodies are
+    generated by size; one that covers nothing has no larger one (more literals cover no more), and one that covers what a
+    part of it covers adds nothing and is not grown. excluded: rows of table's columns that a body may not cover (it is still
+    grown, as more literals may leave them out); a size's bodies are counted in one job."""
+    steps = sorted({s for body in bodies_for(catalog, table, pairs, 1).values() for s in body})
+    facts = {"tried": 0, "empty": 0, "subsumed": 0, "inconsistent": 0}
+    name = lambda body: " & ".join(f"{o}.{k}={c}" for c, o, k in body)
+    alive: dict[tuple, int] = {(): examples(catalog, table).count()}
+    kept: dict[str, list[Literal]] = {}
+    wrong: set[str] = set()
+    against = Catalog({**catalog.tables, table: excluded.select(*catalog[table].columns)}, Constraints()) if excluded is not None else None
+    for size in range(1, max_literals + 1):
+        bodies = [b for b in combinations(steps, size) if all(part in alive for part in combinations(b, size - 1))]
+        if not bodies:
+            break
+        named = {name(b): list(b) for b in bodies}
+        counts = {r["body"]: r["covered"] for r in coverage(catalog, table, named).collect()}  # a row per body
+        if against is not None:
+            wrong |= {r["body"] for r in coverage(against, table, named).collect() if r["covered"]}
+        facts["tried"] += len(bodies)
+        for body in bodies:
+            n, same = counts[name(body)], [p for p in combinations(body, size - 1) if p and alive[p] == counts[name(body)]]
+            if not n:
+                facts["empty"] += 1
+            elif any(name(p) not in wrong or name(body) in wrong for p in same):
+                facts["subsumed"] += 1
+            else:
+                alive[body] = n
+                if name(body) in wrong:
+                    facts["inconsistent"] += 1
+                else:
+                    kept[name(body)] = list(body)
+    if not kept:
+        return [], facts
+    return greedy_cover(covered(catalog, table, kept), {n: len(b) for n, b in kept.items()}, most), facts
+
+
 def prolog_name(text: Column, lossy: bool = False) -> Column:
     """A constant's name: integers stay; else lower case letters, digits and underscores (lossy: letters alone, which makes T1 and
     T10 one); an empty name is an underscore."""

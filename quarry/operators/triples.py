@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,22 +96,22 @@ def body_pairs(facts: DataFrame, rule: Horn) -> DataFrame:
 
 
 def horn_measures(facts: DataFrame, rules: list[Horn]) -> DataFrame:
-    """rule, support, body_size, pca_size, head_size, head_coverage, confidence, pca_confidence."""
+    """rule, support, body_size, pca_size, head_size, head_coverage, confidence, pca_confidence. Facts of a relation are read once
+    for all rules that have it: sizes of heads come from one grouping."""
     parts = []
+    sizes = facts.select("predicate", "subject", "object").distinct().groupBy("predicate").agg(F.count("*").alias("head_size"))
     for rule in rules:
         x, y = rule.head.first, rule.head.second
         head, body = _atom(facts, rule.head), body_pairs(facts, rule)
         flagged = body.join(head.withColumn("hit", F.lit(1)), [x, y], "left").join(head.select(x).distinct().withColumn("known", F.lit(1)), x, "left")
         counts = flagged.agg(F.count("*").alias("body_size"), F.count("hit").alias("support"), F.count("known").alias("pca_size"))
-        one = counts.crossJoin(head.agg(F.count("*").alias("head_size")))  # one row each
-        share = lambda b: F.when(F.col(b) > 0, F.col("support") / F.col(b)).otherwise(0.0)
-        parts.append(
-            one.select(
-                F.lit(str(rule)).alias("rule"), "support", "body_size", "pca_size", "head_size",
-                share("head_size").alias("head_coverage"), share("body_size").alias("confidence"), share("pca_size").alias("pca_confidence"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(counts.select(F.lit(str(rule)).alias("rule"), F.lit(rule.head.relation).alias("predicate"), "support", "body_size", "pca_size"))
+    counted = reduce(DataFrame.unionByName, parts).join(F.broadcast(sizes), "predicate", "left").withColumn("head_size", F.coalesce("head_size", F.lit(0)))  # a row per relation
+    share = lambda b: F.when(F.col(b) > 0, F.col("support") / F.nullif(F.col(b), F.lit(0))).otherwise(0.0)
+    return counted.select(
+        "rule", "support", "body_size", "pca_size", "head_size",
+        share("head_size").alias("head_coverage"), share("body_size").alias("confidence"), share("pca_size").alias("pca_confidence"),
+    )
 
 
 def horn_candidates(relations: list[str], length: int = 2) -> list[Horn]:
@@ -124,15 +126,26 @@ def horn_candidates(relations: list[str], length: int = 2) -> list[Horn]:
     return out
 
 
-def mine_horn(facts: DataFrame, length: int = 2, min_support: int = 1, min_coverage: float = 0.0, batch: int = 24) -> DataFrame:
-    """All rules of horn_candidates() over the facts' relations that reach the thresholds; relations are schema-sized."""
-    relations = sorted(r["predicate"] for r in facts.select("predicate").distinct().collect())
-    rules = horn_candidates(relations, length)
-    kept = []
-    for lo in range(0, len(rules), batch):
-        found = horn_measures(facts, rules[lo : lo + batch])
-        kept += found.where((F.col("support") >= min_support) & (F.col("head_coverage") >= min_coverage)).collect()
-    return facts.sparkSession.createDataFrame(kept, horn_measures(facts, rules[:1]).schema)
+def mine_horn(facts: DataFrame, length: int = 2, min_support: int = 1, min_coverage: float = 0.0, batch: int = 24, jobs: int = 4) -> DataFrame:
+    """All rules of horn_candidates() over the facts' relations that reach the thresholds; relations are schema-sized. The
+    distinct facts are kept for all rules, and batches of rules run side by side."""
+    spark = facts.sparkSession
+    held = facts.select("subject", "predicate", "object").distinct().repartition("predicate", "subject").persist()
+    try:
+        relations = sorted(r["predicate"] for r in held.select("predicate").distinct().collect())
+        rules = horn_candidates(relations, length)
+        schema = "rule string, support long, body_size long, pca_size long, head_size long, head_coverage double, confidence double, pca_confidence double"
+
+        def measured(part: list[Horn]) -> list:
+            found = horn_measures(held, part)
+            return found.where((F.col("support") >= min_support) & (F.col("head_coverage") >= min_coverage)).collect()  # a row per rule
+
+        with ThreadPoolExecutor(jobs) as pool:
+            parts = pool.map(inheritable_thread_target(spark)(measured), [rules[lo : lo + batch] for lo in range(0, len(rules), batch)])
+            kept = [row for part in parts for row in part]
+    finally:
+        held.unpersist()
+    return spark.createDataFrame(kept, schema)
 
 
 def constant_rules(facts: DataFrame, min_support: int = 2) -> DataFrame:
@@ -148,3 +161,29 @@ def constant_rules(facts: DataFrame, min_support: int = 2) -> DataFrame:
     keys = ["body_predicate", "body_object", "head_predicate", "head_object"]
     found = both.groupBy(*keys).agg(F.count("*").alias("support"), F.max("body_size").alias("body_size"))
     return found.where(F.col("support") >= min_support).withColumn("confidence", F.col("support") / F.col("body_size"))
+
+
+def path_rules(facts: DataFrame, length: int = 2, min_support: int = 2, sample: float | None = None, seed: int = 0) -> DataFrame:
+    """rule, support, body_size, confidence: head(X, c) by a path of facts that begins at X and ends in a constant d, of up to
+    length steps (1 or 2), as subjects with and without the head. A second step goes through the object that the first ends in,
+    from its own facts. sample: the share of subjects that paths begin at, by seed; all facts may continue them.
+
+    An entity's own facts are as many as its columns, so a path's continuations are bounded by the schema; path ends and heads
+    rarer than min_support are left out before they meet."""
+    if length not in (1, 2):
+        raise ValueError("length is 1 or 2")
+    facts = facts.select("subject", "predicate", "object").distinct()
+    begins = facts if sample is None else facts.where(F.pmod(F.xxhash64("subject", F.lit(seed)), F.lit(1 << 20)) < int(sample * (1 << 20)))
+    ends = [begins.select("subject", F.concat(F.col("predicate"), F.lit("(X,"), F.col("object"), F.lit(")")).alias("body"))]
+    if length == 2:
+        second = facts.select(F.col("subject").alias("node"), F.col("predicate").alias("next"), F.col("object").alias("end"))
+        long = begins.withColumnRenamed("object", "node").join(second, "node").where(F.col("end") != F.col("subject"))
+        body = F.concat(F.col("predicate"), F.lit("(X,A), "), F.col("next"), F.lit("(A,"), F.col("end"), F.lit(")"))
+        ends.append(long.select("subject", body.alias("body")))
+    bodies = reduce(DataFrame.unionByName, ends).distinct()
+    common = bodies.join(bodies.groupBy("body").agg(F.count("*").alias("body_size")).where(F.col("body_size") >= min_support), "body")
+    heads = begins.select("subject", F.concat(F.col("predicate"), F.lit("(X,"), F.col("object"), F.lit(")")).alias("head"))
+    wanted = heads.join(heads.groupBy("head").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_support).drop("__n"), "head")
+    met = common.join(wanted, "subject").where((F.col("head") != F.col("body")) & ~F.startswith("body", F.concat(F.substring_index("head", ",", 1), F.lit(","))))
+    found = met.groupBy("head", "body").agg(F.count("*").alias("support"), F.max("body_size").alias("body_size")).where(F.col("support") >= min_support)
+    return found.select(F.concat_ws(" <= ", "head", "body").alias("rule"), "support", "body_size", (F.col("support") / F.col("body_size")).alias("confidence"))

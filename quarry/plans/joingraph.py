@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, permutations, product
+from typing import NamedTuple
 
 
-@dataclass(frozen=True, order=True)
-class Cell:
+class Cell(NamedTuple):
     """A column of an occurrence of a table."""
 
     table: str
@@ -23,8 +22,7 @@ class Cell:
         return f"{self.table}_{self.occurrence}.{self.column}"
 
 
-@dataclass(frozen=True, order=True)
-class Edge:
+class Edge(NamedTuple):
     """An equality; the lesser end stands first."""
 
     left: Cell
@@ -122,8 +120,6 @@ def uses_repeated_table_once(edges: Rule) -> bool:
 
 def canonical(edges: Rule) -> tuple:
     """A key that is equal for rules which differ only in the numbering of occurrences."""
-    from itertools import permutations, product
-
     own: dict[str, list[int]] = {}
     for table, occurrence in sorted(aliases(edges)):
         own.setdefault(table, []).append(occurrence)

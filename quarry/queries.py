@@ -7,32 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import ranks, rules, stats
+from quarry.functions import ranks, reports, rules, stats
 from quarry.operators import coverage, ilp, kernel, values
 from quarry.operators import triples as facts
 from quarry.operators.triples import Atom, Horn
 from quarry.plans import discovery
 from quarry.plans.discovery import Split
-from quarry.plans.joingraph import Cell, Edge, possible_edges, splits
+from quarry.plans.joingraph import Cell, Edge, possible_edges, splits, uses_repeated_table_once
 from quarry.plans.search import enumerate_rules
 from quarry.sources import sinks
 from quarry.sources.catalog import Catalog, Constraints
 
 PRIMARY = {
     "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",),
-    "orders": ("o_orderkey",), "events": ("event_id",), "documents": ("doc_id",), "labels": ("doc_id",),
+    "orders": ("o_orderkey",), "events": ("event_id",), "documents": ("doc_id",), "labels": ("doc_id",), "pages": ("page_id",), "benchmark": ("item_id",),
+    "embeddings": ("vec_id",), "conversations": ("conv_id", "turn"),
 }
 FOREIGN = {
     ("nation", "n_regionkey"): ("region", "r_regionkey"), ("customer", "c_nationkey"): ("nation", "n_nationkey"), ("supplier", "s_nationkey"): ("nation", "n_nationkey"),
     ("orders", "o_custkey"): ("customer", "c_custkey"), ("lineitem", "l_orderkey"): ("orders", "o_orderkey"), ("lineitem", "l_partkey"): ("part", "p_partkey"),
     ("lineitem", "l_suppkey"): ("supplier", "s_suppkey"), ("labels", "doc_id"): ("documents", "doc_id"), ("events", "user_id"): ("customer", "c_custkey"),
 }
-#: Columns of integers and texts that the value index covers, in catalog order.
+#: Every column of integers or texts: what the value index covers, in catalog order.
 INDEXED = {
-    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "documents": ("doc_id", "lang", "source", "n_chars"),
-    "events": ("event_id", "user_id", "event_type"), "labels": ("doc_id", "quality", "toxic"),
+    "benchmark": ("item_id", "text"), "conversations": ("conv_id", "turn", "role", "text"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "embeddings": ("vec_id", "label"), "events": ("event_id", "user_id", "event_type", "props"), "labels": ("doc_id", "quality", "toxic"),
     "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"), "nation": ("n_nationkey", "n_name", "n_regionkey"),
-    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "pages": ("page_id", "url", "html"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
     "region": ("r_regionkey", "r_name"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
 }
 DIMENSIONS = ("customer", "nation", "region", "supplier")
@@ -101,7 +103,7 @@ _KEYS = "(VALUES " + ", ".join(f"('{t}.{c}', '{rt}.{rc}')" for (t, c), (rt, rc)
 
 @query(
     f"""WITH {_PAIRS} SELECT coalesce(p.l, k.l) AS "left", coalesce(p.r, k.r) AS "right", coalesce(n_ab, 0) AS n_ab, k.l IS NOT NULL AS declared
-FROM (SELECT * FROM measured WHERE ({_ORDERED} OR l = r) AND n_ab > 3) p FULL JOIN (SELECT * FROM {_KEYS} WHERE {_ORDERED}) k ON p.l = k.l AND p.r = k.r"""
+FROM (SELECT * FROM measured WHERE {_ORDERED} OR l = r) p FULL JOIN (SELECT * FROM {_KEYS} WHERE {_ORDERED}) k ON p.l = k.l AND p.r = k.r WHERE n_ab > 3 OR k.l IS NOT NULL"""
 )
 def attr_compatible(spark, sf_dir):
     return index(spark, sf_dir).compatible()
@@ -119,7 +121,7 @@ def _inclusion_sql(least: str, other: str = "") -> str:
 
 
 def _inclusions(spark, sf_dir, least, same_table=True):
-    return index(spark, sf_dir).inclusions(least, same_table).withColumn("coverage", F.round("coverage", 9))
+    return index(spark, sf_dir).inclusions(least, same_table).drop("jaccard").withColumn("coverage", F.round("coverage", 9))
 
 
 @query(_inclusion_sql("1"))
@@ -226,6 +228,21 @@ def join_mixed_types(spark, sf_dir):
     return kernel.count_rows(catalog(spark, sf_dir), [edge("documents.source", "customer.c_custkey")])
 
 
+@query("SELECT count(*) AS n FROM lineitem JOIN part ON CAST(l_quantity AS DECIMAL(12, 2)) = p_size")
+def join_decimal(spark, sf_dir):
+    """Decimals joined to integers: 7.00 is 7."""
+    c = catalog(spark, sf_dir, ("lineitem", "part"), indexed=False)
+    quantities = c["lineitem"].select(F.col("l_quantity").cast("decimal(12,2)").alias("l_quantity"))
+    return kernel.count_rows(Catalog({"lineitem": quantities, "part": c["part"]}), [edge("lineitem.l_quantity", "part.p_size")])
+
+
+@query("SELECT count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey JOIN customer c ON b.c_mktsegment = c.c_mktsegment WHERE a.c_custkey <> b.c_custkey AND a.c_custkey <> c.c_custkey AND b.c_custkey <> c.c_custkey")
+def disjoint_three(spark, sf_dir):
+    """Three occurrences that differ in their keys, counted without making any of their rows."""
+    edges = [edge("customer.c_nationkey", "customer.c_nationkey", 0, 1), edge("customer.c_mktsegment", "customer.c_mktsegment", 1, 2)]
+    return kernel.count_rows(catalog(spark, sf_dir, ("customer",)), edges, disjoint=True)
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def table_scan(spark, sf_dir):
     return catalog(spark, sf_dir).scan("nation", ["n_nationkey", "missing", "n_name"])
@@ -305,10 +322,61 @@ def tgd_two_edge(spark, sf_dir):
     return _rules(spark, sf_dir, [s for s in _TWO if len(s.rule) == 2])
 
 
-@query()
+#: What discovery over nation, region and supplier may find compatible: integers with each other, names with themselves.
+_SEARCHED = ("nation", "region", "supplier")
+_INTEGERS = [("nation", "n_nationkey"), ("nation", "n_regionkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey"), ("supplier", "s_nationkey")]
+_NAMES = [("nation", "n_name"), ("region", "r_name"), ("supplier", "s_name")]
+_MAYBE = possible_edges([(a, b) for i, a in enumerate(_INTEGERS) for b in _INTEGERS[i:]] + [(n, n) for n in _NAMES], 2)
+
+
+def _discovered_sql(max_tables: int, max_edges: int) -> str:
+    """Every rule of the search space by plain SQL, kept if the data make all its equalities compatible."""
+    place = {f"{t}.{c}": i for i, (t, c) in enumerate((t, c) for t in sorted(INDEXED) for c in INDEXED[t])}
+    col = lambda c: f"{c.table}_{c.occurrence}.{c.column}"
+
+    def count(edges, keys) -> str:
+        own = sorted({a for e in edges for a in e.aliases} | {k.alias for k in keys})
+        where = [f"{col(e.left)} = {col(e.right)}" for e in sorted(edges)] + [f"{col(k)} IS NOT NULL" for k in keys]
+        return f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(map(col, keys))} FROM {', '.join(f'{t} AS {t}_{o}' for t, o in own)} WHERE {' AND '.join(where)}))"
+
+    parts = []
+    for rule in enumerate_rules(_MAYBE, max_tables, max_edges):
+        if uses_repeated_table_once(rule):
+            continue
+        needed = {tuple(sorted((f"{e.left.table}.{e.left.column}", f"{e.right.table}.{e.right.column}"), key=place.__getitem__)) for e in rule}
+        guard = f"(SELECT count(*) FROM ok WHERE (l, r) IN ({', '.join(f'({a!r}, {b!r})' for a, b in sorted(needed))})) = {len(needed)}"
+        for body, head in splits(rule):
+            split = Split(rule, body, head)
+            if split.shared:
+                numbers = ", ".join(f"{' * '.join(count(*q) for q in several)} AS {name}" for name, several in discovery.questions(split).items())
+                text = rules.display(rule, body, head)
+                parts.append(f"SELECT '{text}' AS rule, {len({a for e in rule for a in e.aliases})} AS tables, {len(rule)} AS edges, {numbers} WHERE {guard}")
+    shares = {"ref_support": "body_touching", "ref_confidence": "head_touching", "precision": "body_alone", "head_coverage": "head_alone"}
+    ratios = ", ".join(f"CASE WHEN {of} > 0 THEN round(joint::DOUBLE / {of}, 9) ELSE 0 END AS {name}" for name, of in shares.items())
+    known = ", ".join(f"'{t}.{c}'" for t in _SEARCHED for c in INDEXED[t])
+    return f"""WITH {_PAIRS}, ok AS (SELECT l, r FROM measured WHERE ({_ORDERED} OR l = r) AND n_ab > 3 AND l IN ({known}) AND r IN ({known}) UNION SELECT l, r FROM {_KEYS} WHERE {_ORDERED})
+SELECT rule, tables, edges, joint, body_touching, head_touching, body_alone, head_alone, {ratios} FROM ({" UNION ALL ".join(parts)}) WHERE joint > 0"""
+
+
+@query(_discovered_sql(2, 2))
 def tgd_discovery(spark, sf_dir):
     """Bounded discovery over compatible columns of nation, region and supplier, self-joins included."""
-    return discovery.discover(catalog(spark, sf_dir, ("nation", "region", "supplier")), max_occurrence=2, max_tables=2, max_edges=2, heuristic="hybrid", order="cost")
+    found = discovery.discover(catalog(spark, sf_dir, _SEARCHED), max_occurrence=2, max_tables=2, max_edges=2, heuristic="hybrid", order="cost")
+    return found.withColumns({c: F.round(c, 9) for c in ("ref_support", "ref_confidence", "precision", "head_coverage")})
+
+
+@query()
+def tgd_discovery_wide(spark, sf_dir):
+    """Discovery at the usual bounds: three occurrences, three tables, six equalities, all compatible columns of the same tables,
+    rules that differ in occurrence numbers alone given once."""
+    found = discovery.discover(catalog(spark, sf_dir, _SEARCHED), max_occurrence=3, max_tables=3, max_edges=6, dedupe="isomorphic")
+    return found.withColumns({c: F.round(c, 9) for c in ("ref_support", "ref_confidence", "precision", "head_coverage")})
+
+
+@query(f"""WITH r AS ({_listed([s for s in _TWO if len(s.rule) == 1])}) SELECT rule, regexp_replace(rule, '^∀ (\\w+): (\\w+)_\\d+\\((\\w+)=\\w+\\) ⇒ .*$', '\\2.\\3') AS dependant, regexp_replace(rule, '^.* ⇒ (\\w+)_\\d+\\((\\w+)=\\w+\\)$', '\\1.\\2') AS referenced FROM r""")
+def rule_inclusions(spark, sf_dir):
+    """Rules of one variable as inclusion dependencies."""
+    return coverage.as_inclusions(_rules(spark, sf_dir, [s for s in _TWO if len(s.rule) == 1])).select("rule", "dependant", "referenced")
 
 
 @query("""SELECT count(*) FILTER (holds) AS holding, count(*) FILTER (NOT holds) AS failing FROM (SELECT n_nationkey, EXISTS (SELECT 1 FROM supplier, customer WHERE s_nationkey = n_nationkey AND c_nationkey = n_nationkey) AS holds FROM (SELECT DISTINCT n_nationkey FROM nation))""")
@@ -378,7 +446,7 @@ HORN = {
 }
 
 
-def _horn_sql(columns: str) -> str:
+def _horn_sql(columns: str, rules_: dict[str, Horn] | None = None) -> str:
     def one(name: str, rule: Horn) -> str:
         facts_ = lambda i: f"u{i}"
         place: dict[str, str] = {}
@@ -397,7 +465,7 @@ def _horn_sql(columns: str) -> str:
     ratios = "CASE WHEN {0} > 0 THEN round(support::DOUBLE / {0}, 9) ELSE 0 END AS {1}"
     named = {"head_coverage": ratios.format("head_size", "head_coverage"), "confidence": ratios.format("body_size", "confidence"), "pca_confidence": ratios.format("pca_size", "pca_confidence")}
     wanted = ", ".join(named.get(c, c) for c in columns.split(", "))
-    return f"WITH t AS ({_triples_sql(True)}) SELECT {wanted} FROM ({' UNION ALL '.join(one(*kv) for kv in HORN.items())})"
+    return f"WITH t AS ({_triples_sql(True)}) SELECT {wanted} FROM ({' UNION ALL '.join(one(*kv) for kv in (rules_ or HORN).items())})"
 
 
 def _horn(spark, sf_dir, *columns) -> DataFrame:
@@ -422,11 +490,26 @@ def horn_pca(spark, sf_dir):
     return _horn(spark, sf_dir, "rule_id", "support", "pca_size", "pca_confidence")
 
 
-@query()
+_MINED = ("nation.n_regionkey", "supplier.s_nationkey")
+
+
+@query(_horn_sql("rule_id AS rule, support, body_size, pca_size, head_size, head_coverage, confidence, pca_confidence", {str(r): r for r in facts.horn_candidates(list(_MINED), 3)}))
 def horn_mining(spark, sf_dir):
     """The measures of all Horn rules with one or two body atoms over the references of nation and supplier."""
     own = facts.triples(catalog(spark, sf_dir, ("nation", "region", "supplier")))
-    return facts.mine_horn(own.where(F.col("predicate").isin("nation.n_regionkey", "supplier.s_nationkey")), length=3, min_support=0)
+    found = facts.mine_horn(own.where(F.col("predicate").isin(*_MINED)), length=3, min_support=0)
+    return found.withColumns({c: F.round(c, 9) for c in ("head_coverage", "confidence", "pca_confidence")})
+
+
+@query(f"""WITH t AS (SELECT DISTINCT * FROM ({_triples_sql(True)})), e AS (SELECT DISTINCT subject, concat(predicate, '(X,', object, ')') AS body, concat(predicate, '(X,') AS first FROM t
+UNION SELECT a.subject, concat(a.predicate, '(X,A), ', b.predicate, '(A,', b.object, ')'), concat(a.predicate, '(X,') FROM t a JOIN t b ON a.object = b.subject WHERE b.object <> a.subject),
+n AS (SELECT body, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 20), h AS (SELECT DISTINCT subject, concat(predicate, '(X,', object, ')') AS head, concat(predicate, '(X,') AS first FROM t),
+m AS (SELECT head FROM h GROUP BY 1 HAVING count(*) >= 20)
+SELECT concat(h.head, ' <= ', e.body) AS rule, count(*) AS support, any_value(n.n) AS body_size, round(count(*)::DOUBLE / any_value(n.n), 9) AS confidence
+FROM e JOIN n USING (body) JOIN h USING (subject) JOIN m USING (head) WHERE h.first <> e.first GROUP BY h.head, e.body HAVING count(*) >= 20""")
+def path_rules(spark, sf_dir):
+    """Path rules of one and two steps that hold for twenty subjects or more."""
+    return facts.path_rules(_facts(spark, sf_dir), 2, 20).withColumn("confidence", F.round("confidence", 9))
 
 
 @query(f"""WITH t AS (SELECT DISTINCT * FROM ({_triples_sql(True)})), n AS (SELECT predicate, object, count(*) AS n FROM t GROUP BY 1, 2),
@@ -452,12 +535,37 @@ def ilp_coverage(spark, sf_dir):
     return ilp.coverage(catalog(spark, sf_dir), "customer", BODIES)
 
 
-@query()
+def _greedy_sql() -> str:
+    """The greedy choice unrolled: as many rounds as bodies."""
+    cov = " UNION ALL ".join(f"SELECT '{n}' AS body, {len(b)} AS literals, c_custkey, c_name, c_nationkey, c_mktsegment FROM c WHERE {' AND '.join(f'{own} IN (SELECT {k} FROM {t})' for own, t, k in b)}" for n, b in BODIES.items())
+    steps = [f"c AS (SELECT DISTINCT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer), r0 AS ({cov})"]
+    for i in range(len(BODIES)):
+        steps.append(f"s{i + 1} AS (SELECT {i + 1} AS rank, body, count(*) AS added FROM r{i} GROUP BY body, literals ORDER BY count(*)::DOUBLE / literals DESC, literals, body DESC LIMIT 1)")
+        steps.append(f"r{i + 1} AS (SELECT * FROM r{i} WHERE c_custkey NOT IN (SELECT c_custkey FROM r{i} WHERE body = (SELECT body FROM s{i + 1})))")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT rank, body, added FROM s{i + 1}" for i in range(len(BODIES)))
+
+
+@query(_greedy_sql())
 def ilp_greedy_cover(spark, sf_dir):
     chosen = ilp.greedy_cover(ilp.covered(catalog(spark, sf_dir), "customer", BODIES), {n: len(b) for n, b in BODIES.items()})
     return spark.createDataFrame([(i + 1, body, n) for i, (body, n) in enumerate(chosen)], "rank int, body string, added long")
 
 
+_HOLES = "SELECT DISTINCT CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS a, CASE WHEN c_custkey % 3 <> 1 THEN c_nationkey END AS b FROM customer"
+
+
+@query(f"WITH h AS ({_HOLES}) SELECT 'a' AS body, count(*) FILTER (a IN (SELECT s_nationkey FROM supplier)) AS examples FROM h UNION ALL SELECT 'b', count(*) FILTER (b IN (SELECT n_nationkey FROM nation)) FROM h UNION ALL SELECT 'all', count(*) FROM h")
+def ilp_null_examples(spark, sf_dir):
+    """Examples that differ only in which column is null are different ones."""
+    c = catalog(spark, sf_dir, ("customer", "supplier", "nation"))
+    third, nation = F.pmod("c_custkey", F.lit(3)), F.col("c_nationkey")
+    head = c["customer"].select(F.when(third != 0, nation).alias("a"), F.when(third != 1, nation).alias("b"))
+    holed = Catalog({"h": head, "supplier": c["supplier"], "nation": c["nation"]})
+    found = ilp.covered(holed, "h", {"a": [("a", "supplier", "s_nationkey")], "b": [("b", "nation", "n_nationkey")]})
+    found = found.unionByName(ilp.examples(holed, "h").select(F.lit("all").alias("body"), "example"))
+    return found.distinct().groupBy("body").agg(F.count("*").alias("examples"))
+
+
 @query("SELECT concat('region(', CAST(r_regionkey AS VARCHAR), ',', CASE WHEN regexp_replace(lower(r_name), '[^a-z0-9_]', '', 'g') = '' THEN '_' ELSE regexp_replace(lower(r_name), '[^a-z0-9_]', '', 'g') END, ').') AS line FROM region")
 def prolog_facts(spark, sf_dir):
     return ilp.prolog_facts(catalog(spark, sf_dir), "region")
@@ -500,6 +608,29 @@ def coverage_semi(spark, sf_dir):
     return found.withColumn("completeness", F.round("completeness", 9))
 
 
+_PAIR_VALUES = "(VALUES " + ", ".join(f"('{t}.{c}', '{rt}.{rc}')" for (t, c), (rt, rc) in FOREIGN.items()) + ") k(l, r)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT l AS a, r AS b FROM {_PAIR_VALUES} UNION SELECT r, l FROM {_PAIR_VALUES}), n AS (SELECT DISTINCT a FROM e),
+w AS (SELECT a AS l, a AS r FROM n UNION SELECT w.l, e.b FROM w JOIN e ON e.a = w.r) SELECT x.a AS "left", y.a AS "right", EXISTS (SELECT 1 FROM w WHERE w.l = x.a AND w.r = y.a) AS compatible FROM n x, n y""")
+def transitive_compatibility(spark, sf_dir):
+    """Which columns of declared references reach each other."""
+    declared = spark.createDataFrame([(f"{t}.{c}", f"{rt}.{rc}") for (t, c), (rt, rc) in FOREIGN.items()], "left string, right string")
+    ends = sorted({e for r in FOREIGN.items() for e in (".".join(r[0]), ".".join(r[1]))})
+    wanted = spark.createDataFrame([(a, b) for a in ends for b in ends], "left string, right string")
+    return coverage.transitively_compatible(declared, wanted)
+
+
+_TABLE_SETS = "(VALUES " + ", ".join(f"({i}, ['{t}', '{rt}'])" for i, ((t, _), (rt, _)) in enumerate(FOREIGN.items())) + ") k(i, t)"
+
+
+@query(f"""SELECT own_id, other_id, n::DOUBLE / m AS similarity FROM (SELECT a.i AS own_id, b.i AS other_id, len(list_intersect(a.t, b.t)) AS n, greatest(len(list_distinct(a.t)), len(list_distinct(b.t))) AS m FROM (SELECT i, t FROM {_TABLE_SETS}) a, (SELECT i, t FROM {_TABLE_SETS}) b) WHERE n > 0 AND n::DOUBLE / m >= 0.5""")
+def overlapping_rules(spark, sf_dir):
+    """Rules of two sets that share half of the tables of the larger one."""
+    own = spark.createDataFrame([(i, [f"{t}_0", rt.upper()]) for i, ((t, _), (rt, _)) in enumerate(FOREIGN.items())], "rule_id int, tables array<string>")
+    return coverage.miner_overlap(own, own, 0.5)
+
+
 # Statistics
 
 
@@ -518,6 +649,23 @@ def stats_alt(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "std", "upper_median", "share_high", "share_low")})
 
 
+@query("""SELECT count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(list_sort(list(v))[count(*) // 2 + 1], 6) AS upper_median, round(avg((v >= 0.8)::INT), 6) AS share_high, round(avg((v < 0.5)::INT), 6) AS share_low
+FROM (SELECT value / (SELECT max(value) FROM events) AS v FROM events WHERE value IS NOT NULL)""")
+def stats_alt_all(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("value")
+    scaled = events.crossJoin(F.broadcast(events.agg(F.max("value").alias("most")))).select((F.col("value") / F.col("most")).alias("v"))  # one row
+    return stats.alternative(scaled, "v").withColumns({c: F.round(c, 6) for c in ("mean", "std", "upper_median", "share_high", "share_low")})
+
+
+@query("""SELECT 'duration' AS metric, event_type AS algorithm, concat('d', user_id % 3) AS dataset, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(median(value), 6) AS median, min(value) AS min, max(value) AS max
+FROM events WHERE value IS NOT NULL GROUP BY 2, 3""")
+def stats_report(spark, sf_dir):
+    """The report's table, over events as if they were runs."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    runs = events.select(F.col("event_type").alias("algorithm"), F.concat(F.lit("d"), F.col("user_id") % 3).alias("dataset"), F.col("value").alias("duration"))
+    return reports.by_algorithm(runs).drop("ci_low", "ci_high").withColumns({c: F.round(c, 6) for c in ("mean", "std", "median")})
+
+
 @query(f"""WITH {_PAIRS} SELECT band, count(*) AS n FROM (SELECT CASE WHEN c < 0.5 THEN 'low' WHEN c < 0.8 THEN 'fair' WHEN c < 0.9 THEN 'good' ELSE 'excellent' END AS band FROM (SELECT n_ab::DOUBLE / n_a AS c FROM measured WHERE l <> r)) GROUP BY 1""")
 def stats_quality_bands(spark, sf_dir):
     found = index(spark, sf_dir).inclusions(0.0)

@@ -94,8 +94,8 @@ class Catalog:
 
 
 def canon(column: Column, kind: T.DataType) -> Column:
-    """The text by which values of any type are compared: integers in decimal, whole floats without a point's zeros, booleans
-    True and False, timestamps to the microsecond."""
+    """The text by which values of any type are compared: integers in decimal, floats and decimals without zeros at the end of
+    their fraction, booleans True and False, timestamps to the microsecond."""
     if isinstance(kind, T.StringType):
         return column
     if isinstance(kind, T.BooleanType):
@@ -103,6 +103,9 @@ def canon(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         whole = (column == F.floor(column)) & (F.abs(column) < 1e15)
         return F.when(whole, column.cast("decimal(20,0)").cast("string")).otherwise(column.cast("string"))
+    if isinstance(kind, T.DecimalType):
+        text = column.cast("string")
+        return F.when(column == 0, "0").otherwise(F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text))
     if isinstance(kind, T.TimestampType):
         return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return column.cast("string")

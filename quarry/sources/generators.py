@@ -54,3 +54,43 @@ def broken(df: DataFrame, column: str, share: float, value: object, seed: int =
     """df with about that share of rows holding value in column: planted violations (None for nulls)."""
     kind = df.schema[column].dataType
     return df.withColumn(column, F.when(F.rand(seed) < share, F.lit(value).cast(kind)).otherwise(F.col(column)))
+
+
+def university(spark: SparkSession, students: int = 100, professors: int = 20, courses: int = 50, departments: int = 5, bad: int = 5, seed: int = 0) -> Catalog:
+    """Students, professors and courses with names and departments apart, and planted violations: bad students with a name and bad
+    with a department that isn't there, bad without one, and two courses of a professor who isn't there."""
+    code = lambda mark, n: F.concat(F.lit(mark), F.lpad(n.cast("string"), 3, "0"))
+    i = F.col("id")
+    dept = lambda salt: code("D", F.pmod(F.xxhash64(i, F.lit(seed + salt)), F.lit(departments)) + 1)
+    student = spark.range(1, students + 1).select(
+        code("S", i).alias("arg1"), F.when(i <= bad, "SN999").otherwise(code("SN", i)).alias("arg2"),
+        F.when(i.between(bad + 1, 2 * bad), "BAD").when(~i.between(2 * bad + 1, 3 * bad), dept(1)).alias("arg3"),
+    )
+    course = spark.range(1, courses + 1).select(
+        code("C", i).alias("arg1"), code("CN", i).alias("arg2"), F.when(i <= 2, "P999").otherwise(code("P", F.pmod(i, F.lit(professors)) + 1)).alias("arg3")
+    )
+    names = lambda mark, n: spark.range(1, n + 1).select(code(mark, i).alias("arg1"), F.concat(F.lit("name"), i).alias("arg2"))
+    tables = {
+        "students": student, "student_names": names("SN", students), "departments": names("D", departments), "courses": course, "course_names": names("CN", courses),
+        "professors": spark.range(1, professors + 1).select(code("P", i).alias("arg1"), code("PN", i).alias("arg2"), dept(2).alias("arg3")), "professor_names": names("PN", professors),
+    }
+    refs = {
+        ("students", "arg2"): ("student_names", "arg1"), ("students", "arg3"): ("departments", "arg1"), ("professors", "arg2"): ("professor_names", "arg1"),
+        ("professors", "arg3"): ("departments", "arg1"), ("courses", "arg2"): ("course_names", "arg1"), ("courses", "arg3"): ("professors", "arg1"),
+    }
+    return Catalog(tables, Constraints({t: ("arg1",) for t in tables}, refs))
+
+
+def clinic(spark: SparkSession, patients: int = 345, missing: int = 0, odd_share: float = 0.0, seed: int = 0) -> Catalog:
+    """A star around patients T1, T2, ...: a class of two, and six measures in tables of their own. missing: patients without a name
+    row; odd_share: the share of patients with a class that isn't listed."""
+    i = F.col("id")
+    who = F.concat(F.lit("T"), i).alias("arg1")
+    draw = lambda salt: F.rand(seed * 131 + salt)
+    kind = F.when(draw(0) < odd_share, "9").otherwise((F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(2)) + 1).cast("string"))
+    ids = spark.range(1, patients + 1)
+    spread = {"alkphos": 78, "drinks": 16, "gammagt": 94, "mcv": 26, "sgot": 47, "sgpt": 67}
+    tables = {"visit": ids.select(who, kind.alias("arg2")), "visit_name": ids.where(i > missing).select(who), "visit_type": spark.createDataFrame([("1",), ("2",)], "arg1 string")}
+    tables |= {t: ids.select(who, (F.floor(draw(k + 1) * n) + 1).cast("string").alias("arg2")) for k, (t, n) in enumerate(spread.items())}
+    refs = {(t, "arg1"): ("visit_name", "arg1") for t in tables if t not in ("visit_name", "visit_type")} | {("visit", "arg2"): ("visit_type", "arg1")}
+    return Catalog(tables, Constraints({t: ("arg1",) for t in tables}, refs))

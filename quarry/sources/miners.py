@@ -77,12 +77,55 @@ def parse_path(rule: str) -> HornRule | None:
     return HornRule(read(right), read(left), rule.strip())
 
 
+_SCORE = {k: re.compile(rf"\b{k}\w*\s*[=:]\s*([0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)", re.IGNORECASE) for k in ("conf", "supp")}
+
+
+def parse_free(line: str) -> TGDRule | None:
+    """A rule anywhere in a line without tabs, with scores as conf=0.5 or support: 0.1 beside it; None without a rule."""
+    plain = _SCORE["supp"].sub(" ", _SCORE["conf"].sub(" ", line))
+    rule = parse_path(plain)
+    if rule is None or not rule.body or not rule.head:
+        return None
+    found = {k: float(m[1]) if (m := p.search(line)) else -1.0 for k, p in _SCORE.items()}
+    display = f"{', '.join(map(str, rule.body))} => {', '.join(map(str, rule.head))}"
+    return TGDRule(rule.body, rule.head, display, found["supp"], found["conf"])
+
+
+def parse_rule_line(line: str) -> TGDRule | None:
+    """A line of four columns with tabs between, or else free text; comments and other lines give None."""
+    text = line.strip()
+    if not text or text.startswith("#"):
+        return None
+    parts = text.split("\t")
+    if len(parts) >= 4 and (rule := parse_path(parts[3])) and rule.body and rule.head:
+        try:
+            return TGDRule(rule.body, rule.head, parts[3].strip(), -1.0, float(parts[2]))
+        except ValueError:
+            pass
+    return parse_free(text)
+
+
+def unwrapped(lines: list[str]) -> list[str]:
+    """Lines of a terminal's output as they were before it broke them: a line that ends in a comma, an open parenthesis or an arrow
+    goes on in the next one."""
+    out: list[str] = []
+    for line in lines:
+        text = line.rstrip("\n")
+        before = out[-1].rstrip() if out else ""
+        if before and (before.endswith((",", "<=", "=>", "(", "&")) or before.count("(") > before.count(")")):
+            out[-1] = before + " " + text.strip()
+        else:
+            out.append(text)
+    return out
+
+
 def log_facts(spark: SparkSession, path: str) -> DataFrame:
     """One row: first and last timestamp of a log, seconds between them, and the last stated number of rules."""
     lines = spark.read.text(path)
     stamp = F.to_timestamp(F.regexp_extract("value", r"(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)", 1), "yyyy-MM-dd HH:mm:ss")
     timed = lines.where(F.col("value").rlike(r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d")).select(stamp.alias("at"))
     number = F.regexp_extract("value", r"(\d+)\s+rules", 1)
-    rules = lines.where(F.col("value").rlike(r"\d+\s+rules")).agg(F.max(number.cast("long")).alias("rules"))
+    stated = lines.where(F.col("value").rlike(r"\d+\s+rules")).select(number.cast("long").alias("n"), F.monotonically_increasing_id().alias("line"))
+    rules = stated.agg(F.max_by("n", "line").alias("rules"))
     ends = timed.agg(F.min("at").alias("first"), F.max("at").alias("last"))
     return ends.crossJoin(rules).withColumn("seconds", F.unix_timestamp("last") - F.unix_timestamp("first"))  # one row each

@@ -80,3 +80,32 @@ def latex_table(rows: DataFrame, columns: list[str], caption: str, limit: int =
     body = [" & ".join(escape(r[c]) for c in columns) + r" \\" for r in rows.select(*columns).limit(limit).collect()]
     head = " & ".join(map(escape, columns)) + r" \\ \hline"
     return "\n".join([r"\begin{table}", rf"\caption{{{caption}}}", rf"\begin{{tabular}}{{{'l' * len(columns)}}}", head, *body, r"\end{tabular}", r"\end{table}"])
+
+
+def write_discovery_facts(path: str, report: dict, edges: Iterable | None = None) -> None:
+    """Seconds of discovery's phases and how its questions were answered, as discover() reports them; with edges, the graph of
+    equalities too: its nodes, and for each the ones that can follow."""
+    out: dict = {"measures": report}
+    if edges is not None:
+        own = sorted(set(edges))
+        nodes = [f"{e.left} = {e.right}" for e in own]
+        follow: dict[str, list[str]] = {n: [] for n in nodes}
+        for i, a in enumerate(own):
+            for j, b in enumerate(own):
+                if i != j and a.aliases & b.aliases:
+                    follow[nodes[i]].append(nodes[j])
+        out["graph"] = {"nodes": nodes, "links": follow}
+    write_statistics(path, out)
+
+
+def tikz_plot(rows: DataFrame, x: str, y: str, series: str, x_label: str, y_label: str, log: bool = False, limit: int = 1000) -> str:
+    """A TikZ picture of a line per series over a bounded number of points; points without a number are left out."""
+    points: dict[str, list[tuple[float, float]]] = {}
+    kept = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(series).cast("string").alias("s"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    for r in kept.orderBy("s", "x").limit(limit).collect():
+        points.setdefault(r["s"], []).append((r["x"], r["y"]))
+    escape = lambda t: t.replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
+    lines = [r"\begin{tikzpicture}", rf"\begin{{{'loglogaxis' if log else 'axis'}}}[xlabel={{{escape(x_label)}}}, ylabel={{{escape(y_label)}}}, legend pos=north west]"]
+    for name, own in points.items():
+        lines += [r"\addplot coordinates {" + " ".join(f"({a:g},{b:g})" for a, b in own) + "};", rf"\addlegendentry{{{escape(name)}}}"]
+    return "\n".join([*lines, rf"\end{{{'loglogaxis' if log else 'axis'}}}", r"\end{tikzpicture}"])
