@@ -300,3 +300,15 @@ def near_duplicates(vectors: DataFrame, params: HnswParams = HnswParams()) -> Da
     inside = rows.where("fit").join(facts, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     outside = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return inside.unionByName(outside).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def sql(params: HnswParams = HnswParams()) -> str:
+    """DuckDB SQL for near_duplicates() with all links found: every audit compares small labels whole."""
+    return f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+fit AS MATERIALIZED (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM fit a JOIN fit b ON a.label = b.label AND len(a.e) = len(b.e) WHERE a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= {params.cosine}),
+reach AS (SELECT r AS a, r AS b FROM fit UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT reach.a, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY 1),
+found AS (SELECT v.vec_id, coalesce((SELECT count(*) FROM links WHERE links.a = v.r), 0) AS n_links, coalesce(component_id, v.vec_id) AS component_id FROM v LEFT JOIN least ON least.a = v.r)
+SELECT vec_id, n_links, component_id, coalesce(vec_id = component_id, FALSE) AS kept FROM found"""

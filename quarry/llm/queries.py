@@ -61,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.sql()}
+    return {"op4_mixing": mixing.sql(), "op6_embeddings": hnsw.sql(), "op7_chat": chat.sql()}
