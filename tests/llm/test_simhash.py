@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 import xxhash
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from quarry.llm.components import components
-from quarry.llm.simhash import BKTree, link, near_duplicates, shard_keys
+from quarry.llm.simhash import BKTree, Shingler, distinct, link, may_be_similar, near_duplicates, nearest_prints, parity, prefixes, shard_keys
 
 
 def plain_print(text, size=3):
@@ -85,3 +88,53 @@ def test_empty_table(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (99, 98), (98, 99)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(61), 0), 98: 98, 99: 98}
+
+
+@settings(deadline=None)
+@given(st.lists(st.text("abAB \t", max_size=30), max_size=8), st.integers(1, 5))
+def test_shingles_are_equal_where_their_words_are(texts, size):
+    hashes, counts = Shingler(size)([t.encode() for t in texts])
+    lists = [re.findall(r"[^ \t]+", t.lower()) for t in texts]
+    runs = [[tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else [] for w in lists]
+    assert counts.tolist() == [len(r) for r in runs]
+    flat = [r for own in runs for r in own]
+    assert len(set(zip(hashes.tolist(), flat))) == len(set(flat)) == len(set(hashes.tolist()))
+    own, sizes = distinct(hashes, counts)
+    assert sizes.tolist() == [len(set(r)) for r in runs] and len(own) == sizes.sum()
+
+
+@settings(deadline=None)
+@given(st.integers(0, 10**9), st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([0.5, 0.8, 0.95]))
+def test_no_similar_pair_is_ruled_out(seed, shared, left, right, least):
+    """Neither by parities nor by prefixes, with some shingles common."""
+    rng = np.random.default_rng(seed)
+    hashes = rng.integers(0, 1 << 63, shared + left + right, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    a, b = np.unique(hashes[: shared + left]), np.unique(np.concatenate([hashes[:shared], hashes[shared + left :]]))
+    if shared >= least * (shared + left + right):
+        assert may_be_similar([parity(a)], [parity(b)], np.array([len(a)]), np.array([len(b)]), least)[0]
+        often = np.zeros(min(5, shared), [("hash", "<u8"), ("rank", "<i4")])
+        often["hash"], often["rank"] = hashes[: len(often)], np.arange(len(often))
+        _, sizes, firsts, n = prefixes(np.concatenate([a, b]), np.array([len(a), len(b)]), np.sort(often, order="hash"), least)
+        assert sizes.tolist() == [len(a), len(b)] and set(firsts[: n[0]].tolist()) & set(firsts[n[0] :].tolist())
+
+
+def test_parities_rule_most_others_out():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n), dtype=np.uint64)) for n in rng.integers(40, 600, 60)]
+    marks, sizes = [parity(s) for s in sets], np.array([len(s) for s in sets])
+    a, b = np.triu_indices(60, 1)
+    left = may_be_similar([marks[i] for i in a], [marks[i] for i in b], sizes[a], sizes[b], 0.8)
+    assert left.mean() < 0.01
+
+
+def test_nearest_prints(spark):
+    prints = cloud(5, 600).view(np.int64).tolist()
+    base, asked = prints[::2], prints[1::2]
+    frame = lambda x: spark.createDataFrame([(p,) for p in x], "fp long")
+    got = {(r.asked, r.fp) for r in nearest_prints(frame(base), frame(asked), 3, most=2, shard_rows=128).collect()}
+    apart = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    assert got and all(apart(x, y) <= 3 for x, y in got)
+    for x in asked:
+        near = min((apart(x, y) for y in base), default=64)
+        if near <= 3:
+            assert min(apart(x, y) for a, y in got if a == x) == near
