@@ -65,6 +65,11 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this that df hasn't."""
+    return name if name not in df.columns else name + "_" * max(map(len, df.columns))
+
+
 def shielded(run: Callable[..., DataFrame], own: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> Callable[..., DataFrame]:
     """run(spark, docs, sf_dir) with every column but own under a name that nothing uses while it runs, so that no column of an
     operator takes the place of one of docs; all come back in their order, under their names."""

@@ -64,7 +64,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     own = [sampled(known.where(F.col("quality") == q), F.col("doc_id"), 2 * params.sample_rows, counts.get(q, 0)) for q in (1, 0)]
     ids = [o.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * params.sample_rows) for o in own]  # twice as many, as some may have no text
     rows = (
-        docs.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.length("text") > 0)
+        docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.length("text") > 0)
         .groupBy("doc_id", "quality").agg(F.min(F.substring("text", 1, params.sample_chars)).alias("text"))
     )
     nth = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))

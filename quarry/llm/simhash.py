@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import discard, few, give_back, map_text, quoted, slices, stored, to_bytes
+from quarry.llm.common import discard, few, fresh, give_back, map_text, quoted, slices, stored, to_bytes
 from quarry.llm.components import components, local_roots
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -422,8 +422,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     A row is sure to stay if no earlier one shares such a shingle. While a row meets more than crowd others per shingle on
     average, rows are compared with those sure to stay only, and what is similar goes: a large group takes work in proportion.
     All pairs of a shingle's remaining rows are compared then. Texts without words are one group; repeated rows are copies; an empty table gives no rows."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    texts = numbered.select(F.col("__row").alias("row"), "doc_id", "text")
+    mark = fresh(docs, "__row")
+    numbered = stored(docs.withColumn(mark, F.monotonically_increasing_id()))
+    texts = numbered.select(F.col(mark).alias("row"), "doc_id", "text")
     found = stored(_sketches(texts, shingle, similarity, _common(texts, shingle, numbered.count())))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     reps = stored(found.select("digest", order.alias("place")).groupBy("digest").agg(F.min("place").alias("place")).orderBy("place").select(F.col("place.row").alias("row"), F.monotonically_increasing_id().alias("place")))
@@ -481,6 +482,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         out.append(_later(edges))
     places = stored(reduce(DataFrame.union, out).distinct())
     rows = places.join(few(reps.select("place", "row")), "place").select("row")
-    done = stored(reduce(DataFrame.union, [*gone, rows]).withColumnRenamed("row", "__row"))
+    done = stored(reduce(DataFrame.union, [*gone, rows]).withColumnRenamed("row", mark))
     discard(live, reps, *gone)
-    return numbered.join(few(done), "__row", "left_anti").select(*(quoted(c) for c in docs.columns))
+    return numbered.join(few(done), mark, "left_anti").select(*(quoted(c) for c in docs.columns))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, few, map_text, quoted, slices, stored, to_bytes
+from quarry.llm.common import discard, few, fresh, map_text, quoted, slices, stored, to_bytes
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _OTHER_ODD = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -447,20 +447,21 @@ def dedup(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
 def cut_documents(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
     """docs with every repeated string cut from text and n_chars, where there is one, set to what is left; all rows stay. A
     character that a cut leaves in part goes. Texts that stand there more than once and have length bytes become empty. Null and
-    shorter texts stay as they are; columns named __key or __text must not be there."""
+    shorter texts stay as they are, and so do other columns."""
     plain = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    keyed = docs.withColumn("__key", F.unhex(F.md5(plain)))
+    key, kept = fresh(docs, "__key"), fresh(docs, "__text")
+    keyed = docs.withColumn(key, F.unhex(F.md5(plain)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [b.decode(errors="ignore") for b in to_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["__key", "__text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, kept])
 
-    left = map_text(cut_texts(docs, params).select("key", "kept"), run, "__key binary, __text string")
-    many = keyed.where(F.octet_length("text") >= params.length).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1")
-    facts = stored(left.unionByName(many.select("__key", F.lit("").alias("__text"))))
+    left = map_text(cut_texts(docs, params).select("key", "kept"), run, f"`{key}` binary, `{kept}` string")
+    many = keyed.where(F.octet_length("text") >= params.length).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    facts = stored(left.unionByName(many.select(key, F.lit("").alias(kept))))
     _settle(docs.sparkSession)
-    done = keyed.join(facts, "__key", "left").withColumn("text", F.coalesce("__text", "text"))
+    done = keyed.join(facts, key, "left").withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+        done = done.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return done.select(*(quoted(c) for c in docs.columns))

@@ -154,3 +154,11 @@ def test_mixing_takes_no_more_tokens_than_granted(spark):
     want = granted.join(leaves, list(mixing.LEVELS)).agg(F.sum(F.col("full") * F.col("supply") + F.col("rest"))).first()[0]
     got = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF).agg(F.sum(mixing.words(F.col("text")))).first()[0]
     assert got == want
+
+
+def test_operators_keep_columns_named_like_their_own(spark):
+    docs = odd_docs(spark).where("doc_id > 35 or doc_id is null")
+    want = {"__row": -7, "__key": "key", "a.b": "dot", "tokens": 5}
+    for out in (drop_near_copies(docs), cut_documents(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[c] == v for r in rows for c, v in want.items())
