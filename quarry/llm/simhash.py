@@ -341,7 +341,7 @@ def parity(hashes: np.ndarray) -> bytes:
 
 
 def may_be_similar(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of n and m hashes can have the similarity by their parities a and b. Each hash that one of two sets lacks
+    """Whether sets of n and m hashes can have the similarity by their sizes and their parities a and b. Each hash that one of two sets lacks
     changes one parity, so no fewer differ in hashes than in parities; similar sets differ in (n + m) (1 - least) / (1 + least)
     hashes at most. The longer parity is folded to the length of the shorter one."""
     size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -353,7 +353,8 @@ def may_be_similar(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray,
         while max(x.shape[1] for x in sides) > wide:
             sides = [x if x.shape[1] == wide else x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] for x in sides]
         apart[own] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1)
-    return apart <= (n + m) * (1 - least) / (1 + least) + 1e-9
+    sized = np.minimum(n, m) + 1e-9 >= least * np.maximum(n, m)
+    return sized & (apart <= (n + m) * (1 - least) / (1 + least) + 1e-9)
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
