@@ -22,11 +22,11 @@ class QualityParams:
     what reaches the driver, with sample_chars of each one's text. piece: a text is compressed in pieces of so many bytes, so
     that its own repetitions don't drown what the dictionaries add. level: of zstandard."""
 
-    dictionary_bytes: int = 512 << 10
+    dictionary_bytes: int = 2 << 20
     sample_rows: int = 2500
     sample_chars: int = 8192
     piece: int = 2048
-    level: int = 6
+    level: int = 9
     folds: int = 3
     held_out: int = 1
     threshold: float = 0.5
