@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import fold, map_text, sampled, slices, to_bytes
+from quarry.llm.common import discard, fold, map_text, sampled, slices, stored, to_bytes
 from quarry.llm.compression import Logistic, SizeModel, gather
 
 
@@ -67,9 +67,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
         docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.length("text") > 0)
         .groupBy("doc_id", "quality").agg(F.min(F.substring("text", 1, params.sample_chars)).alias("text"))
     )
-    nth = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    taken = rows.withColumn("nth", nth).where(F.col("nth") <= params.sample_rows).orderBy("nth").collect()
-    by_class = [[r["text"].encode() for r in taken if r["quality"] == quality] for quality in (1, 0)]
+    rows = stored(rows)
+    first = [rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_rows) for q in (1, 0)]
+    by_class = [[r["text"].encode() for r in own.select("text", "doc_id").collect()] for own in first]
+    discard(rows)
     halves = [(rows[::2], rows[1::2]) for rows in by_class]
     sizes = SizeModel([gather(build, params.dictionary_bytes)[0] for build, _ in halves], params.level, params.piece)
     total = counts.get(0, 0) + counts.get(1, 0)
