@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,23 +124,47 @@ def horn_candidates(relations: list[str], length: int = 2) -> list[Horn]:
     return out
 
 
-def mine_horn(facts: DataFrame, length: int = 2, min_support: int = 1, min_coverage: float = 0.0, batch: int = 24, jobs: int = 4) -> DataFrame:
-    """All rules of horn_candidates() over the facts' relations that reach the thresholds; relations are schema-sized. The
-    distinct facts are kept for all rules, and batches of rules run side by side."""
+def mine_horn(facts: DataFrame, length: int = 2, min_support: int = 1, min_coverage: float = 0.0) -> DataFrame:
+    """The measures of all rules of horn_candidates() over the facts' relations that reach the thresholds; relations are schema-sized.
+
+    All rules are measured at once, not one by one: facts are turned both ways, bodies are what one of them, or two end to end,
+    lead from x to y, and their pairs meet the heads' facts once by (x, y), for support, and once by x, for what is known."""
     spark = facts.sparkSession
-    held = facts.select("subject", "predicate", "object").distinct().repartition("predicate", "subject").persist()
+    held = facts.select("subject", "predicate", "object").distinct().persist()
     try:
         relations = sorted(r["predicate"] for r in held.select("predicate").distinct().collect())
         rules = horn_candidates(relations, length)
         schema = "rule string, support long, body_size long, pca_size long, head_size long, head_coverage double, confidence double, pca_confidence double"
-
-        def measured(part: list[Horn]) -> list:
-            found = horn_measures(held, part)
-            return found.where((F.col("support") >= min_support) & (F.col("head_coverage") >= min_coverage)).collect()  # a row per rule
-
-        with ThreadPoolExecutor(jobs) as pool:
-            parts = pool.map(inheritable_thread_target(spark)(measured), [rules[lo : lo + batch] for lo in range(0, len(rules), batch)])
-            kept = [row for part in parts for row in part]
+        if not rules:
+            return spark.createDataFrame([], schema)
+
+        def turned(first: str, second: str) -> DataFrame:
+            """body, from, to: every fact under the text of its atom from first to second, and from second to first."""
+            atom = lambda a, b: F.concat("predicate", F.lit(f"({a},{b})"))
+            ways = F.array(*(F.struct(atom(a, b).alias("body"), F.col(c).alias("from"), F.col(d).alias("to")) for a, b, c, d in ((first, second, "subject", "object"), (second, first, "object", "subject"))))
+            return held.select(F.inline(ways))
+
+        pairs = turned("x", "y").select("body", F.col("from").alias("x"), F.col("to").alias("y"))
+        if length > 2:
+            left = turned("x", "z").select(F.col("body").alias("a"), F.col("from").alias("x"), F.col("to").alias("z"))
+            right = turned("z", "y").select(F.col("body").alias("b"), F.col("from").alias("z"), F.col("to").alias("y"))
+            pairs = pairs.unionByName(left.join(right, "z").select(F.concat_ws(" & ", "a", "b").alias("body"), "x", "y"))
+        pairs = pairs.distinct().persist()
+        heads = held.select(F.col("predicate").alias("head"), F.col("subject").alias("x"), F.col("object").alias("y"))
+        key = ["body", "head"]
+        support = pairs.join(heads, ["x", "y"]).groupBy(*key).agg(F.count("*").alias("support"))
+        known = pairs.join(heads.select("head", "x").distinct(), "x").groupBy(*key).agg(F.count("*").alias("pca_size"))
+        wanted = spark.createDataFrame([(str(r), str(r).split(" => ")[0], r.head.relation) for r in rules], "rule string, body string, head string")
+        found = (
+            wanted.join(support, key, "left").join(known, key, "left")
+            .join(pairs.groupBy("body").agg(F.count("*").alias("body_size")), "body", "left")
+            .join(heads.groupBy("head").agg(F.count("*").alias("head_size")), "head", "left")
+        )
+        counts = found.select("rule", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "body_size", "pca_size", "head_size")))
+        share = lambda c: F.when(F.col(c) > 0, F.col("support") / F.nullif(F.col(c), F.lit(0))).otherwise(0.0)
+        measured = counts.withColumns({"head_coverage": share("head_size"), "confidence": share("body_size"), "pca_confidence": share("pca_size")})
+        kept = measured.where((F.col("support") >= min_support) & (F.col("head_coverage") >= min_coverage)).collect()  # a row per rule
+        pairs.unpersist()
     finally:
         held.unpersist()
     return spark.createDataFrame(kept, schema)

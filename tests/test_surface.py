@@ -247,11 +247,11 @@ def test_rule_set_operators(spark):
     compatible = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "left string, right string")
     wanted = spark.createDataFrame([("a", "c"), ("c", "a"), ("a", "x"), ("q", "q")], "left string, right string")
     assert {(r.left, r.right): r.compatible for r in coverage.transitively_compatible(compatible, wanted).collect()} == {("a", "c"): True, ("c", "a"): True, ("a", "x"): False, ("q", "q"): True}
-    texts = ["∀ x0: bupa_0(arg2=x0) ⇒ kind_0(arg1=x0)", "∀ x0, y0: a_0(b=x0, c=y0) ⇒ d_0(e=x0)", "∀ x0: a_0(b=x0) ⇒ ∃ z0: d_0(e=x0, f=z0)"]
+    texts = ["∀ x0: visit_0(arg2=x0) ⇒ kind_0(arg1=x0)", "∀ x0, y0: a_0(b=x0, c=y0) ⇒ d_0(e=x0)", "∀ x0: a_0(b=x0) ⇒ ∃ z0: d_0(e=x0, f=z0)"]
     rules = spark.createDataFrame([(t,) for t in texts], "rule string")
-    assert [(r.dependant, r.referenced) for r in coverage.as_inclusions(rules).collect()] == [("bupa.arg2", "kind.arg1")]
-    inclusions = spark.createDataFrame([("bupa.arg2", "kind.arg1"), ("o.p", "q.r")], "dependant string, referenced string")
-    assert coverage.inclusion_overlap(inclusions, rules).collect() == [("bupa.arg2", "kind.arg1")]
+    assert [(r.dependant, r.referenced) for r in coverage.as_inclusions(rules).collect()] == [("visit.arg2", "kind.arg1")]
+    inclusions = spark.createDataFrame([("visit.arg2", "kind.arg1"), ("o.p", "q.r")], "dependant string, referenced string")
+    assert coverage.inclusion_overlap(inclusions, rules).collect() == [("visit.arg2", "kind.arg1")]
 
 
 IND = {"type": "InclusionDependency", "table_dependant": "visit", "columns_dependant": ["arg1"], "table_referenced": "visit_name", "columns_referenced": ["arg1"]}
