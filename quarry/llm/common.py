@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Texts are handed to numpy in slices of about this many bytes, whatever the size of an Arrow batch.
 SLICE_BYTES = 1 << 20
 #: Stored tables of a number and little more are broadcast up to this many rows and joined by shuffle beyond.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
