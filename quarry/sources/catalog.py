@@ -54,8 +54,9 @@ class Catalog:
     @classmethod
     def csv(cls, spark: SparkSession, folder: str, names: Iterable[str], constraints: Constraints = Constraints(), empty_is_null: bool = True) -> Catalog:
         """Header files of text columns. CSV can't tell null from the empty string: empty_is_null says which one it is."""
-        read = spark.read.option("header", True).option("nullValue", "" if empty_is_null else "\x00").option("emptyValue", "")
-        return cls({n: read.csv(f"{folder}/{n}.csv") for n in names}, constraints)
+        tables = {n: spark.read.option("header", True).option("emptyValue", "").csv(f"{folder}/{n}.csv") for n in names}
+        filled = lambda t: t.select(*((F.nullif(F.col(f"`{c}`"), F.lit("")) if empty_is_null else F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in t.columns))
+        return cls({n: filled(t) for n, t in tables.items()}, constraints)
 
     @classmethod
     def jdbc(cls, spark: SparkSession, url: str, names: Iterable[str], constraints: Constraints = Constraints(), **options: str) -> Catalog:

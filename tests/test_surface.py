@@ -325,3 +325,21 @@ def test_command_line_of_the_rest(spark, tmp_path):
     assert main(["info", folder, *out], spark)["graph"]["nodes"] > 0
     spark.createDataFrame([("x", "d", 1.0), ("x", "d", 2.0), ("y", "d", 5.0), ("y", "d", 6.0)], "algorithm string, dataset string, duration double").write.json(str(tmp_path / "runs"))
     assert main(["report", str(tmp_path / "runs"), "--out", str(tmp_path / "r.md")], spark)["report"] and "interval" in (tmp_path / "r.md").read_text()
+
+
+def test_catalog_of_text_files(spark, tmp_path):
+    (tmp_path / "people.csv").write_text("id,name\n1,Ann\n2,\n")
+    held = Catalog.csv(spark, str(tmp_path), ["people"], Constraints({"people": ("id",)}))
+    assert [tuple(r) for r in held["people"].orderBy("id").collect()] == [("1", "Ann"), ("2", None)]
+    kept = Catalog.csv(spark, str(tmp_path), ["people"], empty_is_null=False)
+    assert [r.name for r in kept["people"].orderBy("id").collect()] == ["Ann", ""]
+
+
+def test_catalog_of_a_database(spark):
+    """Derby comes with Spark."""
+    url = "jdbc:derby:memory:held;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.format("jdbc").options(url=url, dbtable="T", **options).save()
+    held = Catalog.jdbc(spark, url, ["T"], Constraints({"T": ("k",)}), **options)
+    assert held.row_counts() == {"T": 2} and {str(a) for a in held.attributes()} == {"T.k", "T.v"}
+    assert sorted(r[0] for r in held.scan("T", ["v", "none"]).collect()) == ["a", "b"]
