@@ -41,7 +41,11 @@ class ValueIndex:
             raise ValueError("no column of the wanted types")
         cells = reduce(DataFrame.unionByName, parts)
         filled = cells.where(F.col("value").isNotNull() if empty else F.col("value").isNotNull() & (F.col("value") != ""))
-        self.sets = filled.groupBy("value").agg(F.sort_array(F.collect_set("attr")).alias("s"))
+        words = range(-(-len(self.attributes) // 63))  # a bit per attribute: fixed-size buffers, which a hash aggregate needs
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("attr") % 63)
+        held = filled.groupBy("value").agg(*(F.bit_or(F.when(F.floor(F.col("attr") / 63) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in words))
+        own = [F.when(F.col(f"w{i // 63}").bitwiseAND(F.lit(1 << i % 63).cast("long")) != 0, F.lit(i)) for i in range(len(self.attributes))]
+        self.sets = held.select("value", F.array_compact(F.array(*own)).alias("s"))
 
     def named(self, number: str) -> Column:
         """The name of a numbered attribute."""
