@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import sampled, stored
 
 
+#: More than a cosine of unit vectors in single precision can be off, for the few that are then scored in full.
+SINGLE = 1e-4
+
+
 @dataclass(frozen=True)
 class AnnParams:
     """k: neighbours. dims: of the projection, even. confidence: of the stopping test. cell_rows: vectors of a cell. sample_rows:
@@ -39,8 +43,9 @@ class AnnParams:
 
 def usable(vector: Column) -> Column:
     """Neither null, zero, empty nor with null or non-finite components."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    least, most = F.array_min(vector), F.array_max(vector)  # these pass over nulls; NaN is above infinity
+    finite = (least > float("-inf")) & (most < float("inf")) & ~F.exists(vector, lambda x: x.isNull())
+    return F.coalesce(finite & ((least != 0) | (most != 0)), F.lit(False))
 
 
 def chi_square_bound(dims: int, confidence: float) -> float:
@@ -103,10 +108,18 @@ class KDTree:
                 todo += [(2 * node + 1, own[~right]), (2 * node + 2, own[right])]
         return out
 
-    def distances(self, point: np.ndarray) -> np.ndarray:
-        """Squared distance of a point to each leaf's box."""
-        off = np.maximum(np.maximum(self.low - point, point - self.high), 0)
-        return (off * off).sum(axis=1)
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        """Squared distance of each point to each leaf's box; some points at a time, by dimension."""
+        out = np.zeros((len(points), len(self.low)))
+        some = max(1, (1 << 15) // len(self.low))
+        for lo in range(0, len(points), some):
+            part, to = points[lo : lo + some], out[lo : lo + some]
+            for at, low, high in zip(part.T[:, :, None], self.low.T, self.high.T, strict=True):
+                off = np.maximum(low - at, at - high)
+                np.maximum(off, 0, out=off)
+                off *= off
+                to += off
+        return out
 
 
 class Cell:
@@ -115,20 +128,27 @@ class Cell:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projection: Projection, params: AnnParams) -> None:
         points = projection(vectors)
         self.tree = KDTree(points, params.leaf)
-        self.ids, self.vectors, self.points = ids[self.tree.order], vectors[self.tree.order], points[self.tree.order]
+        self.ids, self.vectors, points = ids[self.tree.order], vectors[self.tree.order], points[self.tree.order]
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        self.units = (self.vectors / self.norms[:, None]).astype(np.float32)
+        self.tests = np.column_stack([points, (points * points).sum(axis=1), np.ones(len(points))])
         self.k, self.bound = params.k + 1, chi_square_bound(params.dims, params.confidence)
 
     def search(self, queries: np.ndarray, projected: np.ndarray, farthest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row of queries, id and score of the k + 1 nearest found of each, best first (one may be the query itself), and how
-        many vectors were verified for each query. farthest: squared distances known to be enough. Leaves come in order
-        of projected distance, one, two, four ... at a time; the test is made before each portion and on each point of it."""
+        """Row of queries, id and score of the k + 1 nearest found of each, best first (one may be the query itself), without
+        those farther than what is known to be enough, and how many vectors were verified for each query. farthest: squared
+        distances known to be enough. Leaves come in order of projected distance, one, two, four ... at a time; the test is
+        made before each portion and on each point of it.
+
+        The queries that ask for a leaf meet its points in two matrix products: one of the projections, whose sign is the test
+        of a point, and one of unit vectors in single precision. What that leaves is scored in double precision, vector by
+        vector, so equal vectors score alike."""
         farthest, verified = np.maximum(farthest, 1e-9), np.zeros(len(queries), np.int64)
         norms = np.sqrt((queries * queries).sum(axis=1))
-        apart = np.stack([self.tree.distances(p) for p in projected]) if len(projected) else np.zeros((0, 1))
+        units, squares = (queries / norms[:, None]).astype(np.float32), (projected * projected).sum(axis=1)
+        apart = self.tree.distances(projected)
         order = np.argsort(apart, axis=1, kind="stable")
         apart = np.take_along_axis(apart, order, axis=1)
-        sizes = np.diff(self.tree.starts)
         row, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, 1
         while at < order.shape[1]:
@@ -136,16 +156,21 @@ class Cell:
             if not len(asked):
                 break
             leaf = order[asked, at + nth]
-            more = [(row, ids, scores)]
-            for lo, hi in _portions(sizes[leaf]):
-                n = sizes[leaf[lo:hi]]
-                who = np.repeat(asked[lo:hi], n)
-                point = np.arange(n.sum()) + np.repeat(self.tree.starts[leaf[lo:hi]] - np.cumsum(n) + n, n)
-                off = projected[who] - self.points[point]
-                near = np.einsum("ij,ij->i", off, off) <= self.bound * farthest[who]
-                who, point = who[near], point[near]
-                verified += np.bincount(who, minlength=len(queries))
-                more.append((who, self.ids[point], (self.vectors[point] * queries[who]).sum(axis=1) / (self.norms[point] * norms[who])))
+            by_leaf = np.argsort(leaf, kind="stable")
+            asked, leaf = asked[by_leaf], leaf[by_leaf]
+            tests = np.column_stack([-2 * projected, np.ones(len(queries)), squares - self.bound * farthest])
+            enough = (1 - farthest / 2 - SINGLE)[:, None].astype(np.float32)
+            more, edges = [(row, ids, scores)], np.flatnonzero(np.diff(leaf)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(leaf)], strict=True):
+                start, end = self.tree.starts[leaf[lo]], self.tree.starts[leaf[lo] + 1]
+                for one in range(lo, hi, 1024):
+                    who = asked[one : min(one + 1024, hi)]
+                    near = tests[who] @ self.tests[start:end].T <= 0
+                    verified[who] += np.count_nonzero(near, axis=1)
+                    near &= units[who] @ self.units[start:end].T >= enough[who]
+                    nth, point = np.divmod(np.flatnonzero(near), end - start)
+                    who, point = who[nth], start + point
+                    more.append((who, self.ids[point], (self.vectors[point] * queries[who]).sum(axis=1) / (self.norms[point] * norms[who])))
             row, ids, scores = (np.concatenate(x) for x in zip(*more, strict=True))
             best = np.lexsort((ids, -scores, row))
             row, ids, scores = row[best], ids[best], scores[best]
@@ -158,15 +183,6 @@ class Cell:
         return row, ids, scores, verified
 
 
-def _portions(sizes: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
-    """Runs of leaves of about that many points."""
-    ends, lo = np.cumsum(sizes), 0
-    while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
-        yield lo, hi
-        lo = hi
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column whose lists are of one length, as doubles."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -174,7 +190,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _search_cells(rows: DataFrame, size: int, params: AnnParams) -> DataFrame:
     """rows: cell, asked (0: to be searched, 1: a query), id, vector, farthest. Gives query, id, score, and verified: the vectors
-    verified for the query in this cell, on one of its rows. Sorted by cell, a task holds one cell's vectors at a time, and the
+    verified for the query in this cell, on one of its rows (one with a score of -inf if all were too far). Sorted by cell, a task holds one cell's vectors at a time, and the
     queries of the cell stream past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +208,12 @@ def _search_cells(rows: DataFrame, size: int, params: AnnParams) -> DataFrame:
                     continue
                 if cell is None and held:
                     cell = Cell(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), projection, params)
-                for lo in range(start, end, 256) if cell else ():
-                    part = slice(lo, min(lo + 256, end))
+                for lo in range(start, end, 2048) if cell else ():
+                    part = slice(lo, min(lo + 2048, end))
                     row, found, scores, verified = cell.search(vectors[part], projection(vectors[part]), farthest[part])
-                    first = np.diff(row, prepend=-1) != 0
-                    out.append((ids[part][row], found, scores, np.where(first, verified[row], 0)))
+                    out.append((ids[part][row], found, scores, np.where(np.diff(row, prepend=-1) != 0, verified[row], 0)))
+                    bare = np.setdiff1d(np.flatnonzero(verified), row)
+                    out.append((ids[part][bare], ids[part][bare], np.full(len(bare), -np.inf), verified[bare]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query", "id", "score", "verified"])
 
@@ -213,14 +230,16 @@ def _routed(queries: DataFrame, top: KDTree, size: int, params: AnnParams, home:
         for batch in batches:
             points, farthest = projection(_matrix(batch.column(1))), batch.column(2).to_numpy()
             own = top.place(points)
-            if home:
-                rows, cells = np.arange(len(points)), own
-            else:
-                near = [np.flatnonzero(top.distances(p) <= bound * max(f, 1e-9)) for p, f in zip(points, farthest, strict=True)]
-                rows, cells = np.repeat(np.arange(len(points)), [len(n) for n in near]), np.concatenate([*near, np.zeros(0, np.int64)])
-                rows, cells = rows[cells != own[rows]], cells[cells != own[rows]]
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), *taken.columns], names=["cell", "id", "vector", "farthest"])
+            some = len(points) if home else 256  # of which each may go to every cell
+            for lo in range(0, len(points), max(some, 1)):
+                if home:
+                    taken, cells = batch, own
+                else:
+                    near = top.distances(points[lo : lo + some]) <= bound * np.maximum(farthest[lo : lo + some], 1e-9)[:, None]
+                    near[np.arange(len(near)), own[lo : lo + some]] = False
+                    rows, cells = np.nonzero(near)
+                    taken = batch.take(pa.array(lo + rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cells), *taken.columns], names=["cell", "id", "vector", "farthest"])
 
     kind = queries.schema["vector"].dataType.simpleString()
     return queries.mapInArrow(run, f"cell long, id long, vector {kind}, farthest double")
@@ -244,22 +263,26 @@ def _one_size(base: DataFrame, queries: DataFrame, size: int, params: AnnParams)
     both = first.unionByName(_search_cells(placed.unionByName(second.withColumn("asked", F.lit(1))), size, params))
     own = Window.partitionBy("query")
     ranked = both.withColumns({"n": F.row_number().over(own.orderBy(F.desc("score"), "id")), "verified": F.sum("verified").over(own)})
-    return ranked.where(F.col("n") <= params.k + 1).drop("n")
+    return ranked.where((F.col("n") <= params.k + 1) & (F.col("score") > float("-inf"))).drop("n")
 
 
 def nearest(vectors: DataFrame, every: int = 50, params: AnnParams = AnnParams()) -> DataFrame:
     """vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by every, candidates all but the query's own.
     Gives query_id, rank, vec_id, score: the k nearest found, nearest first, ties to the smaller vec_id; then verified: how many
-    vectors were compared with the query in full.
+    vectors passed the tests to be compared with the query in full.
 
     Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part, and vectors of other
     lengths aren't compared. Each distinct vector is asked once, and only its k + 1 smallest ids are indexed: equal vectors
-    tie, so no other can be in a result. Rows of one id and vector count once; an empty table gives no rows."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    least = Window.partitionBy("vector").orderBy("id")
-    base = stored(rows.distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= params.k + 1).drop("n"))
-    queries = rows.where(F.col("id") % every == 0).distinct()
-    asked = stored(queries.groupBy("vector").agg(F.min("id").alias("id")))
+    tie, so no other can be in a result. Vectors are told to be equal by 128 bits of hashes. Rows of one id and vector count once;
+    an empty table gives no rows."""
+    known = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector")).where(F.col("vec_id").isNotNull())
+    hashes = {"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(params.seed), "vector")}  # 128 bits, in which 0.0 is -0.0
+    rows, queries = (some.where(usable(F.col("vector"))).withColumns(hashes) for some in (known, known.where(F.col("id") % every == 0)))
+    least = Window.partitionBy("h1", "h2").orderBy("id")
+    few = rows.withColumn("n", F.dense_rank().over(least)).where(F.col("n") <= params.k + 1).withColumn("before", F.lag("id").over(least))
+    base = stored(few.where(F.col("before").isNull() | (F.col("before") != F.col("id"))).select("id", "vector"))
+    queries = stored(queries)
+    asked = stored(queries.withColumn("n", F.row_number().over(least)).where(F.col("n") == 1).drop("n"))
     found = None
     for size in sorted(r[0] for r in asked.select(F.size("vector")).distinct().collect()):  # as many as lengths of vectors
         fits = F.size("vector") == size
@@ -267,7 +290,8 @@ def nearest(vectors: DataFrame, every: int = 50, params: AnnParams = AnnParams()
         found = one if found is None else found.unionByName(one)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
-    of = queries.join(asked.withColumnRenamed("id", "query"), "vector").select(F.col("id").alias("query_id"), "query")
+    same = asked.select("h1", "h2", F.col("id").alias("query"))
+    of = queries.select("id", "h1", "h2").distinct().join(same, ["h1", "h2"]).select(F.col("id").alias("query_id"), "query")
     others = of.join(found, "query").where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return others.withColumn("rank", rank).where(F.col("rank") <= params.k).select("query_id", "rank", F.col("id").alias("vec_id"), "score", "verified")

@@ -1,7 +1,11 @@
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.llm.ann import AnnParams, chi_square_bound, nearest
+from quarry.llm import ann
+from quarry.llm.ann import AnnParams, Cell, KDTree, Projection, chi_square_bound, nearest, usable
 
 
 def brute(rows, every=50, k=5):
@@ -62,3 +66,99 @@ def test_stops_early_where_there_are_neighbours(spark, cosine, most):
         hits += len({r.vec_id for r in rows if r.query_id == q} & set(np.argsort(-score)[:5].tolist()))
     assert hits >= 0.95 * 500
     assert np.mean([r.verified for r in rows if r["rank"] == 1]) < most * 5000
+
+
+def pairwise(cell, queries, projected, farthest):
+    """The cell's search, pair by pair: leaves by distance, one, two, four ... at a time, each point tested and scored alone."""
+    farthest, verified, found = np.maximum(farthest, 1e-9), np.zeros(len(queries), int), []
+    points, norms = cell.tests[:, :-2], np.sqrt((queries * queries).sum(axis=1))
+    for q in range(len(queries)):
+        apart = (np.maximum(np.maximum(cell.tree.low - projected[q], projected[q] - cell.tree.high), 0) ** 2).sum(axis=1)
+        order, best, at, step = np.argsort(apart, kind="stable"), [], 0, 1
+        while at < len(order):
+            leaves = [x for x in order[at : at + step] if apart[x] <= cell.bound * farthest[q]]
+            if not leaves:
+                break
+            point = np.concatenate([np.arange(cell.tree.starts[x], cell.tree.starts[x + 1]) for x in leaves])
+            off = projected[q] - points[point]
+            point = point[(off * off).sum(axis=1) <= cell.bound * farthest[q]]
+            verified[q] += len(point)
+            scores = (cell.vectors[point] * queries[q]).sum(axis=1) / (cell.norms[point] * norms[q])
+            best = sorted([*best, *zip(-scores, cell.ids[point], strict=True)])[: cell.k]
+            if len(best) == cell.k:
+                farthest[q] = max(min(farthest[q], 2 + 2 * best[-1][0]), 1e-9)
+            at, step = at + step, 2 * step
+        found.append([(i, -s) for s, i in best])
+    return found, verified
+
+
+@pytest.mark.parametrize("known", [4.0, 1.2, 0.9])
+def test_search_of_a_cell_equals_pairs(known):
+    """The same neighbours, scores to the last bit and counts; none farther than what is known to be enough."""
+    rng = np.random.default_rng(9)
+    params, projection = AnnParams(leaf=32), Projection(32, AnnParams())
+    vectors = rng.standard_normal((1500, 32)) * rng.uniform(0.01, 100, (1500, 1))
+    vectors[100:120], vectors[200:205] = vectors[99], vectors[99] * 2
+    cell = Cell(rng.permutation(1500), vectors, projection, params)
+    queries = np.concatenate([vectors[90:210], rng.standard_normal((80, 32))])
+    row, ids, scores, verified = cell.search(queries, projection(queries), np.full(200, known))
+    want, counts = pairwise(cell, queries, projection(queries), np.full(200, known))
+    assert verified.tolist() == counts.tolist()
+    assert (2 - 2 * scores <= known + 1e-3).all()
+    for q in range(200):
+        near = [x for x in want[q] if 2 - 2 * x[1] <= known]
+        assert list(zip(ids[row == q], scores[row == q], strict=True))[: len(near)] == near
+
+
+def test_search_of_a_cell_is_not_by_pairs():
+    """Without neighbours to find, a verified vector costs far less than fetching and scoring it alone does."""
+    rng = np.random.default_rng(2)
+    projection, vectors = Projection(64, AnnParams()), rng.standard_normal((4096, 64))
+    cell, queries = Cell(np.arange(4096), vectors, projection, AnnParams()), rng.standard_normal((512, 64))
+    took = []
+    for _ in range(3):
+        start = time.process_time()
+        verified = cell.search(queries, projection(queries), np.full(512, 4.0))[3].sum()
+        took.append(time.process_time() - start)
+    who, point = np.repeat(np.arange(512), 1024), np.tile(rng.permutation(4096)[:1024], 512)
+    start = time.process_time()
+    for lo in range(0, len(who), 1 << 16):
+        (cell.vectors[point[lo : lo + (1 << 16)]] * queries[who[lo : lo + (1 << 16)]]).sum(axis=1)
+    assert min(took) / verified < 0.6 * (time.process_time() - start) / len(who)
+
+
+def test_distances_to_leaves():
+    rng = np.random.default_rng(3)
+    points, asked = rng.standard_normal((500, 4)), rng.standard_normal((300, 4))
+    for tree in (KDTree(points, 16), KDTree(points, 16, tight=False), KDTree(points[:0], 16, tight=False)):
+        off = np.maximum(np.maximum(tree.low - asked[:, None], asked[:, None] - tree.high), 0)
+        assert np.allclose(tree.distances(asked), (off * off).sum(axis=2)) and tree.distances(asked[:0]).shape == (0, len(tree.low))
+
+
+def test_equal_vectors_and_repeated_rows(spark, monkeypatch):
+    """Rows of one id and vector count once, 0.0 is -0.0, and no row is dealt or sorted by its vector."""
+    plans, kept = [], ann.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(ann, "stored", seen)
+    rows = [(i % 9 + 1, [1.0, 0.0 if i % 2 else -0.0]) for i in range(90)] + [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (100, [-0.0, 3.0]), (101, [0.0, 3.0]), (50, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest(df.where(F.col("embedding")[0] != 2)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {50: [1, 2, 3, 4, 5], 100: [101, 1, 2, 3, 4]}
+    assert nearest(df).where("query_id = 50").count() == 5
+    assert not [line for plan in plans for line in plan.splitlines() if ("hashpartitioning(" in line or " Sort [" in line) and "vector" in line]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_usable(spark, kind):
+    inf, nan = float("inf"), float("nan")
+    fine = [[1.0, -1.0], [0.0, 1.0], [-1.0, 0.0], [-2.0, -1.0], [1e-30]]
+    odd = [None, [], [0.0, 0.0], [-0.0, 0.0], [1.0, None], [None, None], [0.0, None], [nan, 1.0], [nan], [inf, 1.0], [1.0, -inf], [-inf, inf], [None, inf], [None, nan]]
+    df = spark.createDataFrame([(v, True) for v in fine] + [(v, False) for v in odd], f"v array<{kind}>, fine boolean")
+    assert df.where(usable(F.col("v")).isNull() | (usable(F.col("v")) != F.col("fine"))).count() == 0
+    assert [r[0] for r in spark.createDataFrame([([1, 0],), ([0, 0],), ([None, 2],)], "v array<int>").select(usable(F.col("v"))).collect()] == [True, False, False]
